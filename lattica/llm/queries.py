@@ -5,10 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import secrets, sharding
+from . import bpe, secrets, sharding, token_store
 from .common import table
 
 
+def vocabulary(name: str) -> str:
+    """Place of a public tokenizer's file; it is read there and never copied."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document through a content-addressed store, read back from its files."""
+    return token_store.store_and_read(spark, table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
+def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Byte-level BPE of every document, and the bytes decoded from its ids."""
+    return bpe.round_trip(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_multi_50k.tiktoken"))
+
+
 def op9_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents into 16 shards of equal row counts by a hypergeometric communication matrix."""
     out = sharding.shard_rows(spark, table(spark, sf_dir, "documents").select("doc_id", "text"), shards=16)
@@ -23,6 +40,8 @@ def op10_linked_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op5_token_store": op5_token_store,
+    "op7_byte_bpe": op7_byte_bpe,
     "op9_hypergeometric_shards": op9_hypergeometric_shards,
     "op10_linked_secrets": op10_linked_secrets,
 }
