@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, secrets, sharding, token_store
+from . import bpe, language, quality, secrets, sharding, token_store
 from .common import table
 
 
@@ -16,6 +16,19 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and the verdict of the line labelling for every document."""
+    docs = table(spark, sf_dir, "documents")
+    return quality.judge(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
+def op3_ecoc_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document by error-correcting output codes."""
+    docs = table(spark, sf_dir, "documents")
+    found = language.identify(docs, language.train(docs), carry=["doc_id"])
+    return found.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
 def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document through a content-addressed store, read back from its files."""
     return token_store.store_and_read(spark, table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
@@ -28,7 +41,7 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents into 16 shards of equal row counts by a hypergeometric communication matrix."""
-    out = sharding.shard_rows(spark, table(spark, sf_dir, "documents").select("doc_id", "text"), shards=16)
+    out = sharding.shard_rows(spark, table(spark, sf_dir, "documents").select("doc_id", "text"), shards=16, carry=["doc_id"])
     return out.select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )
@@ -40,6 +53,8 @@ def op10_linked_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_line_crf": op1_line_crf,
+    "op3_ecoc_language": op3_ecoc_language,
     "op5_token_store": op5_token_store,
     "op7_byte_bpe": op7_byte_bpe,
     "op9_hypergeometric_shards": op9_hypergeometric_shards,
