@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language, quality, secrets, sharding, token_store
+from . import bpe, language, quality, secrets, sharding, token_store, warc
 from .common import table
 
 
+def op4_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page through WARC archives with segmented records and revisits."""
+    return warc.archive_and_read(spark, table(spark, sf_dir, "pages"))
+
+
 def vocabulary(name: str) -> str:
     """Place of a public tokenizer's file; it is read there and never copied."""
     import public_tokenizers
@@ -55,10 +60,20 @@ def op10_linked_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_line_crf": op1_line_crf,
     "op3_ecoc_language": op3_ecoc_language,
+    "op4_warc_segments": op4_warc_segments,
     "op5_token_store": op5_token_store,
     "op7_byte_bpe": op7_byte_bpe,
     "op9_hypergeometric_shards": op9_hypergeometric_shards,
     "op10_linked_secrets": op10_linked_secrets,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op4_warc_segments": """
+        WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+             m AS (SELECT payload_digest AS d, max(page_id) AS last FROM p WHERE payload_bytes >= 1000 GROUP BY 1)
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN page_id < last THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN page_id < last THEN last END AS refers_to
+        FROM p LEFT JOIN m ON payload_digest = d AND payload_bytes >= 1000
+    """,
+}
