@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language, quality, secrets, sharding, token_store, warc
+from . import bpe, language, near_dedup, quality, secrets, sharding, token_store, warc
 from .common import table
 
 
@@ -44,6 +44,12 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_multi_50k.tiktoken"))
 
 
+def op8_tensored_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents on 2-word shingles at similarity 0.8."""
+    found = near_dedup.near_duplicates(table(spark, sf_dir, "documents"), k=2)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op9_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents into 16 shards of equal row counts by a hypergeometric communication matrix."""
     out = sharding.shard_rows(spark, table(spark, sf_dir, "documents").select("doc_id", "text"), shards=16, carry=["doc_id"])
@@ -63,6 +69,7 @@ QUERIES = {
     "op4_warc_segments": op4_warc_segments,
     "op5_token_store": op5_token_store,
     "op7_byte_bpe": op7_byte_bpe,
+    "op8_tensored_minhash": op8_tensored_minhash,
     "op9_hypergeometric_shards": op9_hypergeometric_shards,
     "op10_linked_secrets": op10_linked_secrets,
 }
