@@ -19,7 +19,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bind
+from .common import bind, written
 
 #: Fixed values of the scan: kinds in the order in which ties at one start are listed.
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -128,7 +128,7 @@ def linked_parts(docs: DataFrame, key: str, text: str, scope: int = SCOPE) -> Da
         .distinct()
     )
     cls = F.when(F.col("rank").isin(1, 3), "i").when(F.col("rank") == 5, "e").otherwise("s")
-    parts = parts.withColumn("cls", cls)
+    parts = written(docs.sparkSession, parts.withColumn("cls", cls), "parts")  # read five times below
     width = 2 * scope
     there = parts.where(F.col("cls") != "e").select(
         F.col("_k").alias("k2"), F.col("start").alias("s2"), F.col("end").alias("e2"), F.col("cls").alias("c2"),
