@@ -84,16 +84,19 @@ def shard_rows(
     shards: int = 16,
     seed: int = 2026,
     rows_per_part: int = 20_000,
+    carry: list[str] | None = None,
 ) -> DataFrame:
-    """``df`` with size, text_crc32, shard (int) and slot (long, gapless from 0 in each shard)."""
+    """``df`` (or its columns in ``carry``) with size, text_crc32, shard (int) and slot (long, gapless from 0 in each shard)."""
     base = df.drop("size", "text_crc32", "shard", "slot", "_part", "_h1", "_h2")
     body = F.coalesce(F.col(text), F.lit(""))
+    kept = base.columns if carry is None else carry
     rows = base.select(
-        *base.columns,
+        *kept,
         (F.octet_length(body).cast("long") + 1).alias("size"),
         F.crc32(body.cast("binary")).alias("text_crc32"),
         F.xxhash64(F.lit(seed), F.col(key), F.col(text)).alias("_h1"),
         F.xxhash64(F.lit(seed + 1), F.col(key), F.col(text)).alias("_h2"),
+        *([] if key in kept else [F.col(key)]),
     )
     total = df.count()
     parts = max(1, math.ceil(total / rows_per_part))
@@ -119,4 +122,4 @@ def shard_rows(
     offsets = counts.select("shard", "_cell", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
     inside = Window.partitionBy("shard", "_cell").orderBy("_h2", "size", "text_crc32", key)
     out = dealt.withColumn("_in", F.row_number().over(inside) - 1).join(offsets, ["shard", "_cell"])
-    return out.select(*base.columns, "size", "text_crc32", "shard", (F.col("_off") + F.col("_in")).alias("slot"))
+    return out.select(*kept, "size", "text_crc32", "shard", (F.col("_off") + F.col("_in")).alias("slot"))
