@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language, near_dedup, quality, secrets, sharding, token_store, warc
+from . import bpe, decontaminate, language, near_dedup, quality, secrets, sharding, token_store, warc
 from .common import table
 
 
@@ -44,6 +44,12 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_multi_50k.tiktoken"))
 
 
+def op6_simhash_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with passages of benchmark items: the best window of each pair."""
+    found = decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(F.col("_id").alias("doc_id"), "item_id", "similarity", "start", "n_words", "distance")
+
+
 def op8_tensored_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents on 2-word shingles at similarity 0.8."""
     found = near_dedup.near_duplicates(table(spark, sf_dir, "documents"), k=2)
@@ -68,6 +74,7 @@ QUERIES = {
     "op3_ecoc_language": op3_ecoc_language,
     "op4_warc_segments": op4_warc_segments,
     "op5_token_store": op5_token_store,
+    "op6_simhash_leaks": op6_simhash_leaks,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_tensored_minhash": op8_tensored_minhash,
     "op9_hypergeometric_shards": op9_hypergeometric_shards,
