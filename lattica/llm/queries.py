@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, language, near_dedup, quality, secrets, sharding, token_store, warc
+from . import bpe, decontaminate, language, near_dedup, quality, repeats, secrets, sharding, token_store, warc
 from .common import table
 
 
@@ -27,6 +27,11 @@ def op1_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op2_induced_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document that are covered by 200-byte strings found elsewhere, removed."""
+    return repeats.without_repeats(table(spark, sf_dir, "documents"), depth=200)
+
+
 def op3_ecoc_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document by error-correcting output codes."""
     docs = table(spark, sf_dir, "documents")
@@ -71,6 +76,7 @@ def op10_linked_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_line_crf": op1_line_crf,
+    "op2_induced_repeats": op2_induced_repeats,
     "op3_ecoc_language": op3_ecoc_language,
     "op4_warc_segments": op4_warc_segments,
     "op5_token_store": op5_token_store,
