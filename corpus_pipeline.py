@@ -1,13 +1,66 @@
-"""Corpus pipeline (stages are added below)."""
+"""Corpus pipeline: language ID, near-duplicates, benchmark passages, secrets, byte-level BPE, in this order.
+
+Each stage takes (spark, docs, sf_dir) and works on all that the stage before it kept; the first is given the documents.
+All but the last return the columns of ``docs`` as they came, so extra columns pass through.
+
+Defined results: documents whose language cannot be told (null text, no letter, or two codewords exactly as near) go;
+of each near-duplicate component one row stays; documents with a benchmark passage go; secrets are masked in the text;
+the last stage gives the tokens of what is left. Empty tables stay empty; repeated rows are near-duplicates.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lattica.llm import bpe, decontaminate, language, near_dedup, secrets
+from lattica.llm.common import table
+from lattica.llm.queries import vocabulary
+
+#: Learned models, training draws and hashed candidate search: no SQL states these rows; tests/llm holds brute force.
 ORACLE_SQL: str | None = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+def tell_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents that have a language; documents of unsure language are kept as they are."""
+    model = language.train(docs)
+    names = docs.columns
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])  # no column can clash with those of the prediction
+    found = language.identify(plain, model, text=f"c{names.index('text')}")
+    return found.where(F.col("lang_pred") != language.UND).select(plain.columns).toDF(*names)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each near-duplicate component: that with the smallest id."""
+    return near_dedup.distinct_documents(docs, k=5, num=80, den=100)
+
+
+def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents without a passage of a benchmark item."""
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Masks the base spans and the linked weak spans of every text; no document goes."""
+    return secrets.mask(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of what is left, decoded again."""
+    return bpe.round_trip(docs, vocabulary("byte_bpe_multi_50k.tiktoken"))
+
+
+STAGES = [
+    ("language_id", tell_language),
+    ("near_duplicates", drop_near_duplicates),
+    ("decontamination", drop_benchmark_passages),
+    ("secrets", mask_secrets),
+    ("byte_bpe", encode),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
     return docs

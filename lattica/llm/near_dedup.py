@@ -112,18 +112,18 @@ def sub_keys(h: np.ndarray, off: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, key: str, text: str, k: int) -> DataFrame:
-    """key, n_shingles, cid, subs of every document."""
+    """key, th (hash of the text), n_shingles, cid (class), subs of every document."""
 
     def run(batches):
         for batch in by_bytes(batches, text):
-            h, off = shingle_sets(batch.column(1), k)
+            h, off = shingle_sets(batch.column(2), k)
             ids = class_ids(h, off)
             subs = sub_keys(h, off).view(np.int64)
             cut = pa.array(np.arange(len(ids) + 1, dtype=np.int32) * subs.shape[1])
-            yield pa.record_batch([batch.column(0), pa.array(np.diff(off)), pa.array(ids, pa.int64()), pa.ListArray.from_arrays(cut, pa.array(subs.ravel()))], names=[key, "n_shingles", "cid", "subs"])
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(np.diff(off)), pa.array(ids, pa.int64()), pa.ListArray.from_arrays(cut, pa.array(subs.ravel()))], names=[key, "th", "n_shingles", "cid", "subs"])
 
     kind = dict(docs.dtypes)[key]
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, n_shingles long, cid long, subs array<long>")
+    return docs.select(key, F.xxhash64(text).alias("th"), text).mapInArrow(run, f"`{key}` {kind}, th long, n_shingles long, cid long, subs array<long>")
 
 
 def ties(spark: SparkSession, classes: DataFrame, total: int) -> DataFrame:
@@ -319,7 +319,7 @@ def group_classes(spark: SparkSession, docs: DataFrame, classes: DataFrame, key:
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, num: int = 80, den: int = 100, shared: int = 5) -> DataFrame:
-    """key, n_shingles, cid (class of equal sets, null for empty sets), component_id, kept: a row per row of ``docs``."""
+    """key, th (hash of the text), n_shingles, label (component of classes, null for empty sets), component_id, kept: a row per row of ``docs``."""
     spark = docs.sparkSession
     docs = docs.select(key, text)
     signed = written(spark, signatures(docs, key, text, k), "signed")
@@ -328,9 +328,33 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     found = group_classes(spark, docs, classes, key, text, k, num, den, shared)
     named = classes.join(found.select(F.col("node").alias("cid"), "label"), "cid", "left").select("cid", "rep", F.coalesce("label", "cid").alias("label"))
     least = named.groupBy("label").agg(F.min("rep").alias("component_id"))
-    named = written(spark, named.join(least, "label").select(F.col("cid").alias("c"), "component_id"), "named")
+    named = written(spark, named.join(least, "label").select(F.col("cid").alias("c"), "label", "component_id"), "named")
     out = signed.join(named, F.col("cid") == F.col("c"), "left")
     whole = F.when(F.col("cid").isNull(), F.col(key)).otherwise(F.col("component_id"))
-    return out.select(key, "n_shingles", "cid", whole.alias("component_id")).withColumn("kept", F.col(key).eqNullSafe(F.col("component_id")))
+    return out.select(key, "th", "n_shingles", "label", whole.alias("component_id")).withColumn("kept", F.col(key).eqNullSafe(F.col("component_id")))
 
 
+def distinct_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """``docs`` with one row of each near-duplicate component (the smallest id; of equal ids the smallest text hash; of equal rows any one). Documents without words all stay."""
+    spark = docs.sparkSession
+    found = written(spark, near_duplicates(docs, key, text, k, num, den).where("label is not null").select(F.col(key).alias("_id"), "th", "label"), "members")
+    each = found.groupBy("_id", "th", "label").agg(F.count(F.lit(1)).alias("c"))
+    order = F.struct(F.col("_id").isNull(), F.col("_id"), F.col("th"))
+    best = found.groupBy("label").agg(F.min(order).alias("best"))
+    each = written(spark, each.join(best, "label").select("_id", "th", "c", (order == F.col("best")).alias("stays")), "choice")
+    # Who goes is the smaller side, and only repeated rows of those who stay need a shuffle of their texts.
+    here = F.xxhash64(F.col(text))
+    gone = _small(each.where("not stays").select(F.col("_id").alias("gi"), F.col("th").alias("gh")))
+    left = docs.join(gone, F.col(key).eqNullSafe(F.col("gi")) & (here == F.col("gh")), "left_anti")
+    twice = each.where("stays and c > 1").select(F.col("_id").alias("gi"), F.col("th").alias("gh"))
+    if not twice.limit(1).count():
+        return left
+    twice = _small(twice)
+    same = F.col(key).eqNullSafe(F.col("gi")) & (here == F.col("gh"))
+    names = left.columns
+    once = left.join(twice, same, "left_semi").select(F.struct(*names).alias("row"), F.col(key).alias("gi"), here.alias("gh")).groupBy("gi", "gh").agg(F.first("row").alias("row"))
+    return left.join(twice, same, "left_anti").union(once.select(*[F.col("row")[c].alias(c) for c in names]))
+
+
+def _small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df

@@ -183,8 +183,33 @@ def digest(found: DataFrame, key: str = "doc_id") -> DataFrame:
     )
 
 
-def redact(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with the values of assign, access and hex matches replaced by [REDACTED]; other columns stay."""
-    body = F.regexp_replace(text, r"""((?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?)[A-Za-z0-9+/_.=-]{8,}""", "$1[REDACTED]")
-    body = F.regexp_replace(F.regexp_replace(body, r"AKIA[A-Z0-9]{12,}", "[REDACTED]"), r"[0-9a-f]{32,}", "[REDACTED]")
-    return docs.withColumn(text, body)
+MASK = "[SECRET]"
+#: Rows up to which the linked spans are broadcast to the texts; beyond it the join shuffles.
+BROADCAST_ROWS = 200_000
+
+
+def redact(text: Column) -> Column:
+    """Masks the values of assign matches, and access and hex matches, in one pass each."""
+    body = F.regexp_replace(text, r"""((?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?)[A-Za-z0-9+/_.=-]{8,}""", f"$1{MASK}")
+    return F.regexp_replace(F.regexp_replace(body, r"AKIA[A-Z0-9]{12,}", MASK), r"[0-9a-f]{32,}", MASK)
+
+
+def mask(docs: DataFrame, key: str = "doc_id", text: str = "text", scope: int = SCOPE) -> DataFrame:
+    """``docs`` with base spans and linked weak spans masked in the text; all rows and other columns stay as they are."""
+    spark = docs.sparkSession
+    per = linked_parts(docs, key, text, scope).groupBy(F.col("_k").alias("_mk")).agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("_spans"))
+    per = written(spark, per, "linked")
+    if per.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        per = F.broadcast(per)
+    names = docs.columns
+    rows = docs.select(F.struct("*").alias("_row"), _key(key, text)).join(per, F.col("_k") == F.col("_mk"), "left")
+    body = F.col("_row")[text]
+
+    def cut(a: Column, x: Column) -> Column:
+        at = F.greatest(a["at"], x["start"])
+        return F.struct(F.greatest(a["at"], x["end"]).alias("at"), F.when(x["end"] > a["at"], F.concat(a["out"], F.array(F.substring(body, a["at"] + 1, at - a["at"]), F.lit(MASK)))).otherwise(a["out"]).alias("out"))
+
+    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<string>)").alias("out"))
+    masked = F.aggregate("_spans", start, cut, lambda a: F.concat(F.array_join(a["out"], ""), F.substring(body, a["at"] + 1, F.length(body))))
+    new = redact(F.when(F.col("_spans").isNotNull(), masked).otherwise(body))
+    return rows.select(*[new.alias(c) if c == text else F.col("_row")[c].alias(c) for c in names])
