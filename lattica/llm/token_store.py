@@ -32,50 +32,90 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import by_bytes, drop, new_path
+from .common import by_bytes, byte_view, drop, new_path
 
 WINDOW, MASK, LONGEST, KEY = 16, 0xFF, 2048, 20
 _POLY = 0xEDB88320
-_CACHE = 400_000
+_SEEN = 400_000
+
+
+#: Words of these characters only have slices that can be told by character class and encoded apart from each other: no
+#: apostrophe (contractions), no bar (special tokens), no letter that normalisation could join or split.
+PLAIN = r"^[A-Za-zÀ-ÖØ-öø-ÿ0-9!\"#$%&()*+,\-./:;<=>?@\[\\\]^_`{}~]+$"
 
 
 class WordEncoder:
     """Ids of whole texts by the tokenizers library. White space separates words in its vocabulary's pattern and is
-    dropped, so each distinct word is encoded once and kept in a bounded cache."""
+    dropped, and so are letters, digits and marks of plain words: each distinct slice of a batch is encoded once, many
+    slices in one call (their ends show in the vocabulary's word-end mark); other words are encoded one by one."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.size = self.library.get_vocab_size()
-        self.cache: dict[str, bytes] = {}
-
-    def words(self, words: list[str]) -> list[bytes]:
-        if len(self.cache) > _CACHE:
-            self.cache.clear()
-        out = list(map(self.cache.get, words))
-        new = [i for i, x in enumerate(out) if x is None]
-        for a in range(0, len(new), 20_000):
-            some = new[a : a + 20_000]
-            for i, e in zip(some, self.library.encode_batch_fast([words[i] for i in some], add_special_tokens=False)):
-                out[i] = self.cache[words[i]] = np.array(e.ids, "<u4").tobytes()
-        return out
+        self.ends = np.zeros(self.size, bool)
+        for token, i in self.library.get_vocab().items():
+            self.ends[i] = token.endswith("</w>")
+
+    def _apart(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words, number of ids of each), each word by itself."""
+        ids = [e.ids for e in self.library.encode_batch_fast(words.to_pylist(), add_special_tokens=False)]
+        return np.array([i for x in ids for i in x], "<u4"), np.array([len(x) for x in ids], np.int64)
+
+    def _plain(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        raw, off = byte_view(words)
+        points = np.frombuffer(raw.tobytes().decode().encode("utf-32-le"), np.uint32)
+        at = np.flatnonzero((raw & 0xC0) != 0x80)
+        digit = (points >= 48) & (points <= 57)
+        letter = (points >= 0xC0) | (((points | 32) >= 97) & ((points | 32) <= 122))
+        kind = letter + 2 * digit
+        starts = digit.copy()
+        starts[1:] |= kind[1:] != kind[:-1]
+        starts[np.searchsorted(at, off[:-1])] = True
+        bounds = np.append(at[starts], len(raw))
+        slices = pa.LargeStringArray.from_buffers(len(bounds) - 1, pa.py_buffer(bounds), pa.py_buffer(raw))
+        coded = pc.utf8_lower(slices).dictionary_encode()
+        some = coded.dictionary.to_pylist()
+        found = [e.ids for e in self.library.encode_batch_fast([" ".join(some[a : a + 1000]) for a in range(0, len(some), 1000)], add_special_tokens=False)]
+        flat = np.concatenate([np.array(x, "<u4") for x in found])
+        last = np.flatnonzero(self.ends[flat]) + 1
+        if len(last) != len(some):
+            raise ValueError("slices and encoded words differ in number")
+        per_slice = np.searchsorted(bounds, off)
+        ids, before = _gather(flat, np.diff(last, prepend=0), coded.indices.to_numpy())
+        return ids, np.diff(before[per_slice])
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, number of ids before each text and in all)."""
         split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
         per = split.offsets.to_numpy()
         coded = split.flatten().dictionary_encode()
-        ids_of = self.words(coded.dictionary.to_pylist())
-        size = np.array([len(x) >> 2 for x in ids_of], np.int64)
-        flat = np.frombuffer(b"".join(ids_of), "<u4")
-        index = coded.indices.to_numpy()
-        counts = size[index]
-        ends = np.cumsum(counts)
-        where = (np.cumsum(size) - size)[index]
-        n = int(ends[-1]) if len(ends) else 0
-        ids = flat[np.repeat(where - (ends - counts), counts) + np.arange(n)]
-        return ids, np.concatenate([[0], ends]).astype(np.int64)[per - per[0]]
+        words = coded.dictionary
+        plain = pc.match_substring_regex(words, PLAIN).to_numpy(zero_copy_only=False)
+        size, flats = np.zeros(len(words), np.int64), []
+        order = np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)])
+        for where, encode in ((plain, self._plain), (~plain, self._apart)):
+            if where.any():
+                flat, n = encode(words.filter(pa.array(where)))
+                flats.append(flat)
+                size[where] = n
+        rank = np.empty(len(words), np.int64)
+        rank[order] = np.arange(len(words))
+        flat = np.concatenate(flats) if flats else np.zeros(0, "<u4")
+        ids, before = _gather(flat, size[order], rank[coded.indices.to_numpy()])
+        return ids, before[per - per[0]]
+
+
+def _gather(flat: np.ndarray, size: np.ndarray, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the lists named by ``index``, end to end; number of items before each and in all) of lists given by sizes."""
+    counts = size[index]
+    ends = np.cumsum(counts)
+    n = int(ends[-1]) if len(ends) else 0
+    where = (np.cumsum(size) - size)[index]
+    at = np.repeat((where - (ends - counts)).astype(np.int32), counts)
+    at += np.arange(n, dtype=np.int32)
+    return flat[at], np.concatenate([[0], ends]).astype(np.int64)
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -122,7 +162,7 @@ def write_store(spark: SparkSession, docs: DataFrame, path: str, folder: str, en
         kind = "<u2" if enc.size <= 1 << 16 else "<u4"
         width = int(kind[-1])
         task, row, seen = TaskContext.get().partitionId(), 0, set()
-        for batch in by_bytes(batches, text):
+        for batch in by_bytes(batches, text, 6 << 20):
             bare, per = enc.encode(batch.column(1))
             cut = per + np.arange(len(per))
             ids = np.insert(bare, per[1:], end_id).astype(kind)
@@ -135,7 +175,7 @@ def write_store(spark: SparkSession, docs: DataFrame, path: str, folder: str, en
                 k = hashlib.sha256(data[a:b]).digest()[:KEY]
                 keys.append(k)
                 if k not in seen:
-                    if len(seen) < _CACHE:
+                    if len(seen) < _SEEN:
                         seen.add(k)
                     fresh[0].append(k), fresh[1].append(n), fresh[2].append(data[a:b])
                 a = b
