@@ -26,12 +26,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes, byte_view, written
+from .common import by_bytes, byte_view, drop, written
 from .induced import repeated_starts
 
 GRAM = 50
 BROADCAST_ROWS = 200_000
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
+#: Bytes that a task searches at a time.
+PIECE = 1 << 19
 _P1, _P2 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 _powers: dict[tuple[int, int], np.ndarray] = {}
 
@@ -84,31 +86,33 @@ def segments(raw: np.ndarray, off: np.ndarray, depth: int, gram: int):
     none = np.zeros(0, np.int64)
     if len(raw) < depth:
         return none, none, none, none, none, none
-    w = depth - gram + 1
-    p1, p2 = _prefix(raw, _P1), _prefix(raw, _P2)
-    at = np.arange(len(raw) - gram + 1)
-    grams = _hashes(p1, _P1, at, at + gram)
+    w, n = depth - gram + 1, len(raw) - depth + 1
+    prefix = _prefix(raw, _P1)
+    with np.errstate(over="ignore"):
+        grams = prefix[gram:] - prefix[:-gram]
+        grams *= _power(pow(_P1, -1, 1 << 64), len(grams))[: len(grams)]
+        grams = _mix(grams)
     least = _sliding(grams, w, np.minimum)  # name of the window that starts here
-    ok = np.zeros(len(least), bool)
-    doc = np.repeat(np.arange(len(off) - 1), np.diff(off))[: len(least)]
-    ok[:] = np.arange(len(least)) + depth <= off[1:][doc]
-    new = ok.copy()
-    new[1:] &= ~ok[:-1] | (least[1:] != least[:-1]) | (doc[1:] != doc[:-1])
-    first = np.flatnonzero(new)
+    # Windows that would cross into the next text are none; at least depth - 1 of them part the texts of a batch.
+    cross = np.zeros(len(raw) + 1, np.int8)
+    np.add.at(cross, np.maximum(off[1:] - depth + 1, off[:-1]), 1)
+    np.add.at(cross, off[1:], -1)
+    ok = np.cumsum(cross, dtype=np.int8)[:n] == 0
+    edge = least[1:] != least[:-1]
+    new, stop = ok.copy(), ok.copy()
+    new[1:] &= ~ok[:-1] | edge
+    stop[:-1] &= ~ok[1:] | edge
+    first, end = np.flatnonzero(new), np.flatnonzero(stop) + depth
     if not len(first):
         return none, none, none, none, none, none
-    stop = ok.copy()
-    stop[:-1] &= ~ok[1:] | new[1:]
-    last = np.flatnonzero(stop)
-    end = last + depth
     name = least[first]
     # How often the naming substring stands in its segment: a segment can repeat windows of its own.
-    masked = np.where(ok, least, np.uint64(0))
-    highest = _sliding(np.concatenate([np.zeros(w - 1, np.uint64), masked, np.zeros(w - 1, np.uint64)]), w, np.maximum)
-    marks = np.flatnonzero(grams == highest[: len(grams)])
+    masked = np.zeros(n + 2 * w - 2, np.uint64)
+    np.copyto(masked[w - 1 : w - 1 + n], least, where=ok)
+    marks = np.flatnonzero(grams == _sliding(masked, w, np.maximum))
     seg_of = np.cumsum(new) - 1
-    lo = seg_of[np.clip(marks - w + 1, 0, len(least) - 1)].clip(0)
-    hi = seg_of[np.clip(marks, 0, len(least) - 1)]
+    lo = seg_of[np.clip(marks - w + 1, 0, n - 1)].clip(0)
+    hi = seg_of[np.clip(marks, 0, n - 1)]
     places = np.zeros(len(first), np.int64)
     for step in range(int((hi - lo).max(initial=0)) + 1):
         s = lo + step
@@ -116,7 +120,8 @@ def segments(raw: np.ndarray, off: np.ndarray, depth: int, gram: int):
         s, m = s[use], marks[use]
         hit = (name[s] == grams[m]) & (first[s] <= m) & (m + gram <= end[s])
         places += np.bincount(s[hit], minlength=len(first))
-    return doc[first], first - off[doc[first]], end - first, name.view(np.int64), _hashes(p2, _P2, first, end).view(np.int64), places
+    doc = np.searchsorted(off, first, "right") - 1
+    return doc, first - off[doc], end - first, name.view(np.int64), _hashes(prefix, _P1, first, end).view(np.int64), places
 
 
 def _text_key(text: str) -> list[Column]:
@@ -128,10 +133,14 @@ def occurrences(docs: DataFrame, depth: int, gram: int) -> DataFrame:
     """th, tc, many, start, len, name, seg, places of every segment of (th, tc, many, body)."""
 
     def run(batches):
-        for batch in by_bytes(batches, "body"):
-            d, start, length, name, seg, places = segments(*byte_view(batch.column(3)), depth, gram)
-            take = pa.array(d)
-            yield pa.record_batch([*[batch.column(i).take(take) for i in range(3)], pa.array(start), pa.array(length), pa.array(name), pa.array(seg), pa.array(places)], names=["th", "tc", "many", "start", "len", "name", "seg", "places"])
+        for batch in by_bytes(batches, "body", PIECE):
+            raw, off = byte_view(batch.column(3))
+            # A text longer than a piece is searched in pieces that share depth - 1 bytes, so that no window is lost.
+            for at in range(0, max(1, len(raw)), PIECE) if batch.num_rows == 1 else (0,):
+                part = raw[at : at + PIECE + depth - 1] if batch.num_rows == 1 else raw
+                d, start, length, name, seg, places = segments(part, np.array([0, len(part)]) if batch.num_rows == 1 else off, depth, gram)
+                take = pa.array(d)
+                yield pa.record_batch([*[batch.column(i).take(take) for i in range(3)], pa.array(start + at), pa.array(length), pa.array(name), pa.array(seg), pa.array(places)], names=["th", "tc", "many", "start", "len", "name", "seg", "places"])
 
     return docs.select("th", "tc", "many", "body").mapInArrow(run, "th long, tc long, many boolean, start long, len long, name long, seg long, places long")
 
@@ -212,13 +221,14 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", de
     marked = base.join(copies, (F.col("th") == F.col("ch")) & (F.col("tc") == F.col("cc")), "left").withColumn("many", F.col("ch").isNotNull())
     searched = marked.where((F.col("n") >= depth) & (~F.col("many") | F.col(key).eqNullSafe(F.col("rep")))).select("th", "tc", "many", "body")
 
-    found = occurrences(searched, depth, gram)
+    found = written(spark, occurrences(searched, depth, gram), "segments")
     weight = F.when(F.col("many"), 2).otherwise(F.col("places"))
     names = found.groupBy("name").agg(F.sum(weight).alias("c"), F.min("seg").alias("a"), F.max("seg").alias("b"), F.max("places").alias("p"), F.min("many").alias("all"))
     # Names that only documents with copies hold decide nothing: those documents go as a whole.
     names = names.where("c > 1 and not all").select("name", (F.col("a").eqNullSafe(F.col("b")) & (F.col("p") < 2)).alias("simple"))
     names = written(spark, names, "names")
     held = written(spark, found.join(names, "name"), "held")
+    drop(spark, found)
 
     distinct = held.where("not simple").groupBy("name", "seg", "len").agg(F.sum(F.when(F.col("many"), 2).otherwise(1)).alias("c"), F.min(F.struct("th", "tc", "start")).alias("at"), F.max("places").alias("p"))
     distinct = written(spark, distinct, "distinct")
