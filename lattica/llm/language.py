@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import itertools
 import unicodedata
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +30,7 @@ from .common import by_bytes
 
 UND = "und"
 BUCKETS = 1 << 16
-_CACHE = 300_000
+_CHUNK = 8192
 
 
 def codewords(n: int, bits: int, seed: int = 7) -> np.ndarray:
@@ -61,32 +61,17 @@ class Model:
     code: np.ndarray
     weights: np.ndarray  # (BUCKETS, bits)
     bias: np.ndarray
-    cache: dict = field(default_factory=dict, repr=False)
-
-    def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k != "cache"} | {"cache": {}}
 
     def margins(self, texts) -> tuple[np.ndarray, np.ndarray]:
         """(bit margins of each text, number of n-grams of each text)."""
         words, per_text, ids = _words(texts)
-        sums, counts = np.zeros((len(words), self.weights.shape[1])), np.zeros(len(words))
-        if len(self.cache) > _CACHE:
-            self.cache.clear()
-        known = list(map(self.cache.get, words))
-        new = [i for i, k in enumerate(known) if k is None]
-        if new:
-            grams, owner = ngrams([words[i] for i in new])
-            fresh = np.zeros((len(new), sums.shape[1]))
-            size = np.bincount(owner, minlength=len(new))
-            ends = np.cumsum(size)
-            some = size > 0
-            if len(grams):
-                fresh[some] = np.add.reduceat(self.weights[grams], (ends - size)[some], axis=0)
-            for i, row, n in zip(new, fresh, size.tolist()):
-                known[i] = self.cache[words[i]] = (row, n)
-        if words:
-            sums = np.array([k[0] for k in known])
-            counts = np.array([k[1] for k in known], float)
+        sums, counts = np.zeros((len(words), self.weights.shape[1]), np.float32), np.zeros(len(words))
+        for a in range(0, len(words), _CHUNK):  # bounded: a chunk's n-grams times the bits
+            some = words[a : a + _CHUNK]
+            for grams, owner in ngrams(some):
+                first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
+                sums[a + owner[first]] += np.add.reduceat(self.weights[grams], first, axis=0)
+                counts[a : a + len(some)] += np.bincount(owner, minlength=len(some))
         total = np.zeros((len(per_text) - 1, sums.shape[1]))
         n = np.zeros(len(per_text) - 1)
         size = np.diff(per_text)
@@ -128,13 +113,13 @@ def _words(texts) -> tuple[list[str], np.ndarray, np.ndarray]:
     return coded.dictionary.to_pylist(), split.offsets.to_numpy() - (split.offsets[0].as_py() if len(split.offsets) else 0), coded.indices.to_numpy()
 
 
-def ngrams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed n-grams (1 to 4 code points, word ends marked) and the word each belongs to, in order of words."""
+def ngrams(words: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For n from 1 to 4: hashed n-grams (code points, word ends marked) and the word each belongs to, in order of words."""
     padded = [f" {p} " if (p := _plain(w)) else "" for w in words]
     points = np.frombuffer("".join(padded).encode("utf-32-le"), np.uint32).astype(np.uint64)
     lens = np.array([len(p) for p in padded], np.int64)
     owner = np.repeat(np.arange(len(words)), lens)
-    found, owners = [], []
+    found = []
     h = np.zeros(len(points), np.uint64)
     with np.errstate(over="ignore"):
         for n in range(1, 5):
@@ -145,13 +130,10 @@ def ngrams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
             if n == 1:
                 same = same & (points != 32)
             g = h[same] ^ np.uint64(n * 0x1F123BB5)
-            found.append(((g ^ (g >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(48)).astype(np.int64))
-            owners.append(owner[: len(owner) - n + 1][same])
-    if not found:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    g, o = np.concatenate(found), np.concatenate(owners)
-    order = np.argsort(o, kind="stable")
-    return g[order], o[order]
+            g = ((g ^ (g >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(48)).astype(np.int64)
+            if len(g):
+                found.append((g, owner[: len(owner) - n + 1][same]))
+    return found
 
 
 def fit(rows: list[tuple[str, str]], bits: int = 24, epochs: int = 6, seed: int = 1) -> Model:
@@ -161,8 +143,9 @@ def fit(rows: list[tuple[str, str]], bits: int = 24, epochs: int = 6, seed: int
     model = Model(languages, code, np.zeros((BUCKETS, code.shape[1] if languages else 1)), np.zeros(code.shape[1] if languages else 1))
     data = []
     for text, lang in rows:
-        g, _ = ngrams(text.split())
-        if len(g):
+        parts = [g for g, _ in ngrams(text.split())]
+        if parts:
+            g = np.concatenate(parts)
             values, counts = np.unique(g, return_counts=True)
             data.append((values, counts / np.sqrt(len(g)), code[languages.index(lang)]))
     rng = np.random.default_rng(seed)
@@ -218,7 +201,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text", carry: list[str]
 
     def run(batches):
         m = shared.value
-        for batch in by_bytes(batches, text):
+        for batch in by_bytes(batches, text, 4 << 20):
             names, score, unsure = m.predict(batch.column(at))
             yield pa.record_batch([*batch.columns[: len(kept)], pa.array(names, pa.string()), pa.array(score, pa.float64()), pa.array(unsure, pa.bool_())], names=[*kept, "lang_pred", "score", "ambiguous"])
 
