@@ -323,7 +323,7 @@ def encode_documents(docs: DataFrame, path: str, key: str = "doc_id", text: str
 
     def run(batches):
         m = merger(path)
-        for batch in by_bytes(batches, text):
+        for batch in by_bytes(batches, text, 2 << 20):
             ids, cut = m.encode(*byte_view(batch.column(1)))
             ends = np.cumsum(m.widths[ids])
             base = np.concatenate([[0], ends])[cut[:-1]]
@@ -357,7 +357,7 @@ def round_trip(docs: DataFrame, path: str, key: str = "doc_id", text: str = "tex
 
     def run(batches):
         m = merger(path)
-        for batch in by_bytes(batches, text):
+        for batch in by_bytes(batches, text, 2 << 20):
             ids, cut = m.encode(*byte_view(batch.column(1)))
             data, at = m.decode(ids)
             dec = m.decimals.take(pa.array(ids))

@@ -115,7 +115,7 @@ def signatures(docs: DataFrame, key: str, text: str, k: int) -> DataFrame:
     """key, th (hash of the text), n_shingles, cid (class), subs of every document."""
 
     def run(batches):
-        for batch in by_bytes(batches, text):
+        for batch in by_bytes(batches, text, 3 << 20):
             h, off = shingle_sets(batch.column(2), k)
             ids = class_ids(h, off)
             subs = sub_keys(h, off).view(np.int64)
@@ -232,7 +232,7 @@ def confirmed(docs: DataFrame, placed: DataFrame, key: str, text: str, k: int, n
     rows = here.join(F.broadcast(wanted) if few else wanted, F.col("_key").eqNullSafe(F.col("_rep")))
 
     def sets(batches):
-        for batch in by_bytes(batches, "_text"):
+        for batch in by_bytes(batches, "_text", 3 << 20):
             h, off = shingle_sets(batch.column(0), k)
             ids = class_ids(h, off)
             g, p, c, comp, lists = [], [], [], [], []

@@ -256,7 +256,7 @@ def judge(docs: DataFrame, model: Chain, key: str = "doc_id", text: str = "text"
     """key, base counts, base_failed, content_share (of the words), n_lines, n_content_lines, kept."""
 
     def run(batches):
-        for batch in by_bytes(batches, text):
+        for batch in by_bytes(batches, text, 3 << 20):
             b = measure(batch.column(1))
             state = model.viterbi(b.features, b.lines)
             total = np.concatenate([[0], np.cumsum(np.where(state == 0, b.line_words, 0))])
