@@ -44,6 +44,10 @@ _SEEN = 400_000
 PLAIN = r"^[A-Za-zÀ-ÖØ-öø-ÿ0-9!\"#$%&()*+,\-./:;<=>?@\[\\\]^_`{}~]+$"
 
 
+#: 1 for letters, 2 for digits, 0 for marks, for the code points of plain words.
+_PLAIN_KIND = np.array([2 if 48 <= c <= 57 else int(c >= 0xC0 or chr(c).isalpha()) for c in range(256)], np.uint8)
+
+
 class WordEncoder:
     """Ids of whole texts by the tokenizers library. White space separates words in its vocabulary's pattern and is
     dropped, and so are letters, digits and marks of plain words: each distinct slice of a batch is encoded once, many
@@ -67,10 +71,8 @@ class WordEncoder:
         raw, off = byte_view(words)
         points = np.frombuffer(raw.tobytes().decode().encode("utf-32-le"), np.uint32)
         at = np.flatnonzero((raw & 0xC0) != 0x80)
-        digit = (points >= 48) & (points <= 57)
-        letter = (points >= 0xC0) | (((points | 32) >= 97) & ((points | 32) <= 122))
-        kind = letter + 2 * digit
-        starts = digit.copy()
+        kind = _PLAIN_KIND[points]
+        starts = kind == 2
         starts[1:] |= kind[1:] != kind[:-1]
         starts[np.searchsorted(at, off[:-1])] = True
         bounds = np.append(at[starts], len(raw))
@@ -135,7 +137,7 @@ def chunk_ends(ids: np.ndarray, cut: np.ndarray) -> np.ndarray:
         mixed ^= mixed >> np.uint64(29)
         rolling = np.zeros(n, np.uint64)
         for j in range(min(WINDOW, n)):
-            rolling[j:] += np.roll(mixed * np.uint64(pow(0xBF58476D1CE4E5B9, j, 1 << 64)), j)[j:]
+            rolling[j:] += mixed[: n - j] if j == 0 else mixed[: n - j] * np.uint64(pow(0xBF58476D1CE4E5B9, j, 1 << 64))
         rolling ^= rolling >> np.uint64(32)
     place = np.arange(n) - np.repeat(cut[:-1], np.diff(cut))  # place within the text: a window lies within one text
     marks = np.flatnonzero(((rolling & np.uint64(MASK)) == 0) & (place >= WINDOW - 1)) + 1
@@ -162,7 +164,7 @@ def write_store(spark: SparkSession, docs: DataFrame, path: str, folder: str, en
         kind = "<u2" if enc.size <= 1 << 16 else "<u4"
         width = int(kind[-1])
         task, row, seen = TaskContext.get().partitionId(), 0, set()
-        for batch in by_bytes(batches, text, 6 << 20):
+        for batch in by_bytes(batches, text, 10 << 20):
             bare, per = enc.encode(batch.column(1))
             cut = per + np.arange(len(per))
             ids = np.insert(bare, per[1:], end_id).astype(kind)
