@@ -17,6 +17,7 @@ Parameters: path of the rank file (never copied into the repository), batch byte
 from __future__ import annotations
 
 import base64
+import bisect
 import hashlib
 import heapq
 import sys
@@ -176,9 +177,9 @@ class Merger:
 
     LONG = 48
 
-    def __init__(self, path: str, cache: int = 400_000):
+    def __init__(self, path: str, cache: int = 150_000):
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
-        self.ranks, self.limit, self.cache = ranks, cache, {}
+        self.limit, self.cache = cache, {}
         self.tokens = [b""] * (max(ranks.values()) + 1)
         pairs = {}
         for token, rank in ranks.items():
@@ -187,7 +188,6 @@ class Merger:
                 a, b = ranks.get(token[:cut]), ranks.get(token[cut:])
                 if a is not None and b is not None:
                     pairs[a << 32 | b] = rank
-        self.pairs = pairs
         self.keys = np.array(sorted(pairs), np.int64)
         self.vals = np.array([pairs[k] for k in self.keys.tolist()], np.int32)
         self.bytes = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
@@ -246,8 +246,13 @@ class Merger:
         ids = [int(self.bytes[b]) for b in piece]
         n = len(ids)
         right, left = list(range(1, n)) + [-1], list(range(-1, n - 1))
-        get = self.pairs.get
-        heap = [(r, i, ids[i], ids[i + 1]) for i in range(n - 1) if (r := get(ids[i] << 32 | ids[i + 1])) is not None]
+        first = self._rank(np.array(ids[:-1], np.int32), np.array(ids[1:], np.int32)).tolist()
+        heap = [(r, i, ids[i], ids[i + 1]) for i, r in enumerate(first) if r != self.NONE]
+
+        def get(key: int) -> int | None:
+            at = bisect.bisect_left(self.keys, key)
+            return int(self.vals[at]) if at < len(self.keys) and self.keys[at] == key else None
+
         heapq.heapify(heap)
         while heap:
             r, i, a, b = heapq.heappop(heap)
@@ -275,8 +280,8 @@ class Merger:
             end = at
             while end < len(new) and len(pieces[new[end]]) <= width:
                 end += 1
-            for a in range(at, end, 50_000):
-                some = new[a : min(end, a + 50_000)]
+            for a in range(at, end, 8192):
+                some = new[a : min(end, a + 8192)]
                 for i, ids in zip(some, self._many([pieces[i] for i in some], width)):
                     out[i] = self.cache[pieces[i]] = ids
             at = end

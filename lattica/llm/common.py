@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import shutil
 import tempfile
 import uuid
@@ -77,7 +79,12 @@ def byte_view(texts) -> tuple[np.ndarray, np.ndarray]:
 
 
 def by_bytes(batches, column: str, limit: int = 8 << 20):
-    """Arrow record batches cut so that one holds about ``limit`` bytes of ``column``, or a single row."""
+    """Arrow record batches cut so that one holds about ``limit`` bytes of ``column``, or a single row.
+
+    Freed memory goes back to the system after each batch: workers live on between stages.
+    """
+    import pyarrow as pa
+
     for batch in batches:
         if batch.num_rows == 0:
             continue
@@ -88,3 +95,7 @@ def by_bytes(batches, column: str, limit: int = 8 << 20):
             end = max(start + 1, min(end, batch.num_rows))
             yield batch.slice(start, end - start)
             start = end
+        del batch
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
