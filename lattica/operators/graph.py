@@ -121,7 +121,7 @@ def cuthill_mckee(m: DataFrame, reverse: bool = False, most_rows: int = 2_000_00
             todo.reverse()
         return pd.DataFrame({"old": todo, "new": range(len(todo))})
 
-    return everything.groupBy(F.lit(0)).applyInPandas(lambda pdf: order(pdf[["i", "j"]]), "old long, new long")
+    return everything.withColumn("_all", F.lit(1)).groupBy("_all").applyInPandas(lambda pdf: order(pdf[["i", "j"]]), "old long, new long")
 
 
 def top_k(m: DataFrame, k: int) -> DataFrame:

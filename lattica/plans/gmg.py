@@ -17,7 +17,7 @@ from ..tables import written
 from .krylov import Control, Problem, Result, Status, cg
 from .space import LocalSpace
 
-LOCAL = 300_000
+LOCAL = 2_000_000
 AXES = ("x", "y", "z")
 
 
