@@ -28,7 +28,7 @@ class AmgParams:
     theta: float = 0.3
     max_row_sum: float = 0.9
     truncation: float = 0.2
-    interpolation: str = "direct"  # direct, standard, extended, reduction
+    interpolation: str = "direct"  # direct, standard, extended, energy (levels in memory), reduction
     coarsening: str = "rs"  # rs, rsp (|a|), mis, aggressive
     aggregation: str = "vmb"  # vmb, pairwise
     coupled: float = 0.08
@@ -301,6 +301,9 @@ def _local_step(level: LocalLevel, depth: int, q: AmgParams) -> LocalMatrix | No
             return None
         if q.interpolation in ("standard", "extended"):
             p = local.standard_interpolation(m, s, mark, q.interpolation == "extended")
+        elif q.interpolation == "energy" and m.n <= 4000:
+            level.order = np.concatenate([np.flatnonzero(mark == 1), np.flatnonzero(mark != 1)])
+            return local.energy_interpolation(m, s, mark)
         else:
             p = local.direct_interpolation(m, s, mark)
         level.order = np.concatenate([np.flatnonzero(mark == 1), np.flatnonzero(mark != 1)])
