@@ -88,6 +88,31 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_induced_repeats": """
+        WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+             w AS (SELECT doc_id, i, md5(substr(h, 2 * i + 1, 400)) AS m FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2 - 199)) AS i FROM d)),
+             twice AS (SELECT m FROM w GROUP BY m HAVING count(*) > 1),
+             st AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS p FROM w JOIN twice USING (m)),
+             runs AS (SELECT doc_id, i, sum(CASE WHEN p IS NULL OR i > p + 200 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM st),
+             spans AS (SELECT doc_id, k, min(i) AS s, max(i) + 200 AS e FROM runs GROUP BY 1, 2),
+             cuts AS (SELECT doc_id, k, s, e, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY k), 0) AS a FROM spans),
+             kept AS (SELECT doc_id, sum(e - s) AS n_removed, count(*) AS n_spans, string_agg(substr(h, 2 * a + 1, 2 * (s - a)), '' ORDER BY k) || substr(any_value(h), 2 * max(e) + 1) AS h
+                      FROM cuts JOIN d USING (doc_id) GROUP BY doc_id)
+        SELECT doc_id, CAST(len(d.h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+               sha256(unhex(coalesce(kept.h, d.h))) AS kept_sha256
+        FROM d LEFT JOIN kept USING (doc_id)
+    """,
+    "op8_tensored_minhash": """
+        WITH RECURSIVE w AS (
+               SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+             s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) < 2 THEN w ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS s FROM w),
+             u AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM s),
+             e AS (SELECT a.doc_id AS a, b.doc_id AS b FROM u a JOIN u b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY 1, 2, a.n, b.n
+                   HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+             r(doc_id, c) AS (SELECT doc_id, doc_id FROM documents UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.doc_id),
+             m AS (SELECT doc_id, min(c) AS component_id FROM r GROUP BY 1)
+        SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept FROM s JOIN m USING (doc_id)
+    """,
     "op4_warc_segments": """
         WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
              m AS (SELECT payload_digest AS d, max(page_id) AS last FROM p WHERE payload_bytes >= 1000 GROUP BY 1)
