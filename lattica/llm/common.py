@@ -2,42 +2,23 @@
 
 from __future__ import annotations
 
-import atexit
 import contextlib
 import ctypes
-import shutil
-import tempfile
-import uuid
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..tables import new_path
+
 #: The white space that separates words everywhere in this subpackage: 0x20 and 0x09-0x0D.
 WORD = r"[^\x20\x09-\x0D]+"
 
-_own_dir: list[str] = []
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where that is unset (tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    if not _own_dir:
-        _own_dir.append(tempfile.mkdtemp(prefix="lattica-"))
-        atexit.register(shutil.rmtree, _own_dir[0], True)
-    return f"file://{_own_dir[0]}"
-
-
-def new_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex[:12]}"
-
-
 def written(spark: SparkSession, df: DataFrame, tag: str, partition_by: str | None = None) -> DataFrame:
     """Cuts lineage: writes ``df`` once as Parquet in the shared folder and reads it back."""
     path = new_path(spark, tag)

@@ -8,7 +8,8 @@
 4. In each shard, rows are ordered by a second seeded hash and numbered from 0. The order is kept in ranges of that hash,
    so no task ever holds a shard.
 
-Only the P x shards matrix reaches the driver; P grows with the row count (``rows_per_part``).
+Only the P x shards matrix reaches the driver; P grows with the row count (``rows_per_part``) up to ``most_parts``, beyond
+which partitions grow instead (their sorts spill).
 
 Defined results: a null text counts as empty (size 1, crc 0); empty tables give no rows; repeated rows are separate rows
 (they get separate slots); extra columns are kept by ``shard_rows`` unless they are named like its outputs, then replaced.
@@ -84,6 +85,7 @@ def shard_rows(
     shards: int = 16,
     seed: int = 2026,
     rows_per_part: int = 20_000,
+    most_parts: int = 8192,
     carry: list[str] | None = None,
 ) -> DataFrame:
     """``df`` (or its columns in ``carry``) with size, text_crc32, shard (int) and slot (long, gapless from 0 in each shard)."""
@@ -99,7 +101,7 @@ def shard_rows(
         *([] if key in kept else [F.col(key)]),
     )
     total = df.count()
-    parts = max(1, math.ceil(total / rows_per_part))
+    parts = max(1, min(most_parts, math.ceil(total / rows_per_part)))
     rows = rows.withColumn("_part", F.pmod(F.shiftright(F.col("_h1"), 20), F.lit(parts)).cast("int"))
     sizes = dict(rows.groupBy("_part").count().collect())  # P numbers, P = total / rows_per_part
     shard_sizes = [total // shards + (s < total % shards) for s in range(shards)]
