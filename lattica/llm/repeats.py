@@ -207,8 +207,13 @@ def window_repeats(rows: DataFrame, depth: int) -> DataFrame:
     return hit.groupBy("name", "seg", "len").agg(spans.alias("spans"))
 
 
-def _small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+def _small(df: DataFrame, lists: str | None = None) -> DataFrame:
+    """Broadcast if its rows, or the items of its column of lists, are few enough; else left to a shuffle join."""
+    if lists is None:
+        few = df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    else:
+        few = (df.agg(F.sum(F.size(lists))).first()[0] or 0) <= BROADCAST_ROWS
+    return F.broadcast(df) if few else df
 
 
 def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", depth: int = 200, gram: int = GRAM, hot: int = 5000, with_text: bool = False) -> DataFrame:
@@ -234,7 +239,7 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", de
     distinct = written(spark, distinct, "distinct")
     open_ = distinct.groupBy("name").agg(F.count(F.lit(1)).alias("k"), F.min("c").alias("least"), F.max("p").alias("p")).where("least = 1 or p > 1").select("name", "k")
     sent = written(spark, distinct.join(open_, "name").select("name", "seg", "len", "at.th", "at.tc", "at.start", (F.col("k") > hot).alias("hot")), "sent")
-    wanted = _small(sent.groupBy(F.col("th").alias("wh"), F.col("tc").alias("wc")).agg(F.collect_list(F.struct("name", "seg", "len", "start", "hot")).alias("want")))
+    wanted = _small(sent.groupBy(F.col("th").alias("wh"), F.col("tc").alias("wc")).agg(F.collect_list(F.struct("name", "seg", "len", "start", "hot")).alias("want")), "want")
     # One row of each wanted text: several rows may hold it.
     source = searched.join(wanted, (F.col("th") == F.col("wh")) & (F.col("tc") == F.col("wc")))
 
@@ -265,7 +270,7 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", de
     ranges = ranges.select("th", "tc", (F.col("start") + F.col("x.s")).alias("s"), (F.col("start") + F.col("x.e")).alias("e"))
     ranges = ranges.union(mine.where("simple").select("th", "tc", F.col("start").alias("s"), (F.col("start") + F.col("len")).alias("e")))
     per = ranges.groupBy(F.col("th").alias("rh"), F.col("tc").alias("rc")).agg(F.collect_list(F.struct("s", "e")).alias("ranges"))
-    per = _small(written(spark, per, "ranges"))
+    per = _small(written(spark, per, "ranges"), "ranges")
     final = marked.select(key, "th", "tc", "many", "body").join(per, (F.col("th") == F.col("rh")) & (F.col("tc") == F.col("rc")), "left").select(key, "body", "many", "ranges")
 
     def finish(batches):
