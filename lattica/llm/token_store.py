@@ -200,7 +200,8 @@ def write_store(spark: SparkSession, docs: DataFrame, path: str, folder: str, en
     doc_type = dict(docs.dtypes)[key]
     rows = docs.select(key, text).mapInArrow(run, f"kind byte, key binary, doc {doc_type}, n long, chunks array<binary>, body binary")
     staged = f"{folder}/staged"
-    rows.dropDuplicates(["key"]).write.partitionBy("kind").option("compression", "zstd").parquet(staged)
+    # Workers have left out most repeated chunks: no combining before the exchange, which would sort all payloads once more.
+    rows.repartition("key").dropDuplicates(["key"]).write.partitionBy("kind").option("compression", "zstd").parquet(staged)
     kept = spark.read.schema(f"key binary, doc {doc_type}, n long, chunks array<binary>, body binary, kind byte").parquet(staged)
     # The chunks stay where the shuffle has put them: that part of the staged table is the block table.
     fs_path = spark._jvm.org.apache.hadoop.fs.Path
