@@ -54,7 +54,7 @@ def colour_sweep(m: DataFrame, b: DataFrame, x: DataFrame, colours: DataFrame, o
     for c in order:
         new = (1 - omega) * F.col("x") + omega * (F.col("bb") - F.col("s")) / F.col("d")
         x = _update(m, b, x, new, colours.where(F.col("c") == c))
-        if checkpoint:
+        if checkpoint or len(order) > 2:  # a plan reads x twice per colour: it would double with every one
             x = written(x, "sweep")
     return x
 
