@@ -187,7 +187,7 @@ query("merge_duplicates", M, ["a"], "SELECT l_suppkey::BIGINT AS i, l_partkey::B
 query("duplicates", [*M, "stored"], [], "SELECT l_suppkey::BIGINT AS i, l_partkey::BIGINT AS j, count(*) AS stored FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1")(
     lambda s, d: matrix.duplicates(table(s, d, "lineitem").select(F.col("l_suppkey").cast("long").alias("i"), F.col("l_partkey").cast("long").alias("j")))
 )
-query("inverse_diagonal_scaling", M, ["a"], "SELECT l.i, l.j, l.a / p.a * 997 AS a FROM l JOIN (SELECT i, a FROM l WHERE i = j) p ON l.i = p.i", L_SQL)(lambda s, d: matrix.scale(matrix.inverse_diagonal_scaling(laplacian(s, d)), 997.0))
+query("inverse_diagonal_scaling", M, ["a"], "SELECT l.i, l.j, l.a / p.a * 3.14159265358979::DOUBLE AS a FROM l JOIN (SELECT i, a FROM l WHERE i = j) p ON l.i = p.i", L_SQL)(lambda s, d: matrix.scale(matrix.inverse_diagonal_scaling(laplacian(s, d)), 3.14159265358979))
 query("entry_rank", [*M, "pos"], ["a"], "SELECT i, j, a, row_number() OVER (PARTITION BY i ORDER BY i <> j, j) - 1 AS pos FROM g", G_SQL)(lambda s, d: matrix.entry_rank(gram(s, d), True).withColumn("pos", F.col("pos").cast("long")))
 query("pattern_image", ["bi", "bj", "stored"], [], "SELECT CAST(floor(i * 16 / n) AS BIGINT) AS bi, CAST(floor(j * 16 / n) AS BIGINT) AS bj, count(*) AS stored FROM (SELECT i, j, (SELECT greatest(max(i), max(j)) + 1 FROM g)::DOUBLE AS n FROM g) GROUP BY 1, 2", G_SQL)(lambda s, d: matrix.pattern_image(gram(s, d), 16))
 query("top_k_per_row", M, ["a"], "SELECT i, j, a FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY abs(a) DESC, j) AS r FROM g) WHERE r <= 5", G_SQL)(lambda s, d: graph.top_k(gram(s, d), 5))
