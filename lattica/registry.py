@@ -122,6 +122,9 @@ query("gram", M, ["a"], "SELECT * FROM g", G_SQL)(gram)
 query("spgemm", M, ["a"], "SELECT s.i, b.i AS j, sum(s.a * b.a) AS a FROM s JOIN b ON s.j = b.j GROUP BY 1, 2 HAVING s.i < 5", f"{B_SQL}, {S_SQL}")(
     lambda s, d: products.spgemm(suppliers(s, d).where("i < 5"), matrix.transpose(incidence(s, d)))
 )
+query("spgemm_whole", M, ["a"], "SELECT s.i, b.i AS j, sum(s.a * b.a) AS a FROM s JOIN b ON s.j = b.j GROUP BY 1, 2", f"{B_SQL}, {S_SQL}")(
+    lambda s, d: products.spgemm(suppliers(s, d), matrix.transpose(incidence(s, d)))
+)
 query("spgemm_pattern", M, [], "SELECT DISTINCT p.i, q.i AS j FROM s p JOIN s q ON p.j = q.j", S_SQL)(lambda s, d: products.spgemm_pattern(suppliers(s, d), matrix.transpose(suppliers(s, d))))
 query("sandwich", M, ["a"], "SELECT p.i, q.i AS j, sum(p.a * x * q.a) AS a FROM s p JOIN x ON p.j = x.i JOIN s q ON p.j = q.j GROUP BY 1, 2", f"{S_SQL}, {X_SQL}")(
     lambda s, d: products.sandwich(suppliers(s, d), prices(s, d), matrix.transpose(suppliers(s, d)))
@@ -129,6 +132,10 @@ query("sandwich", M, ["a"], "SELECT p.i, q.i AS j, sum(p.a * x * q.a) AS a FROM
 query("galerkin", M, ["a"], "SELECT p.i, q.i AS j, sum(p.a * g.a * q.a) AS a FROM s p JOIN g ON p.j = g.i JOIN s q ON g.j = q.j WHERE p.i < 3 AND q.i < 3 GROUP BY 1, 2", f"{G_SQL}, {S_SQL}")(
     lambda s, d: products.galerkin(suppliers(s, d).where("i < 3"), gram(s, d), matrix.transpose(suppliers(s, d).where("i < 3")))
 )
+GS_SQL = "gs AS (SELECT g.i, q.i AS j, sum(g.a * q.a) AS a FROM g JOIN s q ON g.j = q.j GROUP BY 1, 2)"
+query("galerkin_whole", M, ["a"], "SELECT p.i, gs.j, sum(p.a * gs.a) AS a FROM s p JOIN gs ON p.j = gs.i GROUP BY 1, 2", f"{G_SQL}, {S_SQL}, {GS_SQL}")(
+    lambda s, d: products.galerkin(suppliers(s, d), gram(s, d), matrix.transpose(suppliers(s, d)))
+)
 query("galerkin_boolean", M, ["a"], "SELECT p.s_nationkey::BIGINT AS i, q.s_nationkey::BIGINT AS j, sum(ss.a) AS a FROM ss JOIN supplier p ON ss.i = p.s_suppkey JOIN supplier q ON ss.j = q.s_suppkey GROUP BY 1, 2", f"{S_SQL}, ss AS (SELECT p.i, q.i AS j, sum(p.a * q.a) AS a FROM s p JOIN s q ON p.j = q.j GROUP BY 1, 2)")(
     lambda s, d: products.galerkin_boolean(nation_map(s, d), products.spgemm(suppliers(s, d), matrix.transpose(suppliers(s, d))))
 )
@@ -173,6 +180,9 @@ query("column", V, ["x"], "SELECT x.i, coalesce(g.a, 0) AS x FROM x LEFT JOIN g
 query("regularise_diagonal", M, ["a"], "SELECT i, j, CASE WHEN i = j AND a - 200 < 1e-20 THEN 3.0 ELSE a END AS a FROM (SELECT i, j, CASE WHEN i = j THEN greatest(a - 200, 0) + 200 * (CASE WHEN a - 200 > 0 THEN 1 ELSE 0 END) ELSE a END AS a FROM g) WHERE i < 100", G_SQL)(
     lambda s, d: matrix.regularise_diagonal(gram(s, d).where("i < 100").withColumn("a", F.when((F.col("i") == F.col("j")) & (F.col("a") <= 200), 0.0).otherwise(F.col("a"))), 3.0)
 )
+query("regularise_diagonal_whole", M, ["a"], "SELECT i, j, CASE WHEN i = j AND a <= 200 THEN 3.0 ELSE a END AS a FROM g", G_SQL)(
+    lambda s, d: matrix.regularise_diagonal(gram(s, d).withColumn("a", F.when((F.col("i") == F.col("j")) & (F.col("a") <= 200), 0.0).otherwise(F.col("a"))), 3.0)
+)
 query("compress", M, ["a"], "SELECT * FROM g WHERE abs(a) > 1500", G_SQL)(lambda s, d: matrix.compress(gram(s, d), 1500.0))
 query("shift", M, ["a"], "SELECT i + 1 AS i, j + 1 AS j, a FROM s", S_SQL)(lambda s, d: matrix.shift(suppliers(s, d), 1))
 query("longest_row", ["longest_row"], [], "SELECT max(c) AS longest_row FROM (SELECT count(*) AS c FROM g GROUP BY i)", G_SQL)(lambda s, d: matrix.longest_row(gram(s, d)))
@@ -199,6 +209,7 @@ query("compressed_rows", ["i", "n", "first", "last"], [], "SELECT i, count(*) AS
 )
 query("rows_by_length", ["length", "i"], [], "SELECT count(*) AS length, i FROM g GROUP BY i", G_SQL)(lambda s, d: formats.rows_by_length(gram(s, d)))
 query("block_round_trip", M, ["a"], "SELECT * FROM g WHERE i < 200 AND j < 200 AND a <> 0", G_SQL)(lambda s, d: formats.from_blocks(formats.to_blocks(gram(s, d).where("i < 200 and j < 200"), 4), 4))
+query("block_round_trip_whole", M, ["a"], "SELECT * FROM g WHERE a <> 0", G_SQL)(lambda s, d: formats.from_blocks(formats.to_blocks(gram(s, d), 4), 4))
 query("bands_round_trip", M, ["a"], "SELECT * FROM p", P_SQL)(lambda s, d: formats.from_bands(formats.to_bands(poisson(s))))
 query("grid_of_blocks_round_trip", M, ["a"], "SELECT * FROM p", P_SQL)(
     lambda s, d: formats.from_grid_of_blocks(formats.to_grid_of_blocks(poisson(s), N * N // 4), s.createDataFrame([(k, N * N // 4) for k in range(4)], "b int, n long"))
