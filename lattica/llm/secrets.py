@@ -27,7 +27,7 @@ ACCESS = r"(AKIA[A-Z0-9]{12,})"
 HEX = r"([0-9a-f]{32,})"
 #: Weak parts, by class: identifier, secret, endpoint.
 WEAK_ID = r"""(?i:client_?id|access_?key(?:_?id)?|account_?id)["']?\x20*[:=]\x20*["']?([A-Za-z0-9_.@-]{6,})"""
-WEAK_SECRET = r"(?<![A-Za-z0-9+/=_-])([A-Za-z0-9+/]{40})(?![A-Za-z0-9+/=_-])"
+WEAK_SECRET = r"(?<![A-Za-z0-9+/_-])([A-Za-z0-9+/]{40})(?![A-Za-z0-9+/=_-])"
 WEAK_ENDPOINT = r"""(?i)\b(?:https?|s3|jdbc:[a-z]+|postgres(?:ql)?|mysql|redis|amqps?)(://[^\x20\x09-\x0D"'<>]{4,})"""
 KINDS = {"assign": (0, ASSIGN, 8), "access": (1, ACCESS, 16), "hex": (2, HEX, 32)}
 WEAK = {"id": (3, WEAK_ID, 6), "token": (4, WEAK_SECRET, 40), "endpoint": (5, WEAK_ENDPOINT, 4)}
