@@ -23,6 +23,7 @@ from .common import bind, written
 
 #: Fixed values of the scan: kinds in the order in which ties at one start are listed.
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+ASSIGN_LONG = ASSIGN.replace("]+)", "]{8,})")
 ACCESS = r"(AKIA[A-Z0-9]{12,})"
 HEX = r"([0-9a-f]{32,})"
 #: Weak parts, by class: identifier, secret, endpoint.
@@ -45,8 +46,9 @@ def _total(lengths: Column) -> Column:
     return F.aggregate(lengths, F.lit(0), lambda a, x: a + x)
 
 
-def spans_of(text: Column, rank: int, pattern: str, least: int) -> Column:
-    """array<struct<start, rank, end>> of the matches whose group 1 has ``least`` code points or more."""
+def spans_of(text: Column, rank: int, pattern: str, least: int, value: bool = False) -> Column:
+    """array<struct<start, rank, end>> of the matches whose group 1 has ``least`` code points or more; with ``value``, of
+    their group 1, which ends every match."""
     pat = F.lit(pattern)
     found = F.struct(
         F.regexp_extract_all(text, pat, F.lit(0)).alias("m"),
@@ -93,7 +95,7 @@ def spans_of(text: Column, rank: int, pattern: str, least: int) -> Column:
         )
         return F.transform(
             kept,
-            lambda x: F.struct(x["s"].alias("start"), F.lit(rank).alias("rank"), (x["s"] + x["l"]).alias("end")),
+            lambda x: F.struct((x["s"] + x["l"] - x["v"] if value else x["s"]).alias("start"), F.lit(rank).alias("rank"), (x["s"] + x["l"]).alias("end")),
         )
 
     none = F.expr("cast(array() as array<struct<start:int,rank:int,end:int>>)")
@@ -188,14 +190,21 @@ MASK = "[SECRET]"
 BROADCAST_ROWS = 200_000
 
 
-def redact(text: Column) -> Column:
-    """Masks the values of assign matches, and access and hex matches, in one pass each."""
-    body = F.regexp_replace(text, r"""((?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?)[A-Za-z0-9+/_.=-]{8,}""", f"$1{MASK}")
-    return F.regexp_replace(F.regexp_replace(body, r"AKIA[A-Z0-9]{12,}", MASK), r"[0-9a-f]{32,}", MASK)
+def secret_values(text: Column) -> Column:
+    """array<struct<start, end>> of what ``scan`` calls base spans, of assign spans the value alone.
+
+    An assign match with a short value takes the text from one that starts in that value, so matches of long values are
+    sought as well.
+    """
+    every = F.concat(*[spans_of(text, *v, value=True) for v in (*KINDS.values(), (0, ASSIGN_LONG, 8))])
+    return F.transform(every, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
 
 
 def mask(docs: DataFrame, key: str = "doc_id", text: str = "text", scope: int = SCOPE) -> DataFrame:
-    """``docs`` with base spans and linked weak spans masked in the text; all rows and other columns stay as they are."""
+    """``docs`` with base spans and linked weak spans masked in the text; all rows and other columns stay as they are.
+
+    All spans are places in the text as it came; spans that overlap get one mask.
+    """
     spark = docs.sparkSession
     per = linked_parts(docs, key, text, scope).groupBy(F.col("_k").alias("_mk")).agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("_spans"))
     per = written(spark, per, "linked")
@@ -206,10 +215,14 @@ def mask(docs: DataFrame, key: str = "doc_id", text: str = "text", scope: int =
     body = F.col("_row")[text]
 
     def cut(a: Column, x: Column) -> Column:
-        at = F.greatest(a["at"], x["start"])
-        return F.struct(F.greatest(a["at"], x["end"]).alias("at"), F.when(x["end"] > a["at"], F.concat(a["out"], F.array(F.substring(body, a["at"] + 1, at - a["at"]), F.lit(MASK)))).otherwise(a["out"]).alias("out"))
+        kept = F.concat(a["out"], F.array(F.substring(body, a["at"] + 1, x["start"] - a["at"]), F.lit(MASK)))
+        return F.struct(F.greatest(a["at"], x["end"]).alias("at"), F.when(x["start"] >= a["at"], kept).otherwise(a["out"]).alias("out"))
+
+    def masked(spans: Column) -> Column:
+        start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<string>)").alias("out"))
+        done = F.aggregate(spans, start, cut, lambda a: F.concat(F.array_join(a["out"], ""), F.substring(body, a["at"] + 1, F.length(body))))
+        return F.when(F.size(spans) > 0, done).otherwise(body)
 
-    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<string>)").alias("out"))
-    masked = F.aggregate("_spans", start, cut, lambda a: F.concat(F.array_join(a["out"], ""), F.substring(body, a["at"] + 1, F.length(body))))
-    new = redact(F.when(F.col("_spans").isNotNull(), masked).otherwise(body))
+    linked = F.coalesce("_spans", F.expr("cast(array() as array<struct<start:int,end:int>>)"))
+    new = bind(F.sort_array(F.array_distinct(F.concat(linked, secret_values(body)))), masked)
     return rows.select(*[new.alias(c) if c == text else F.col("_row")[c].alias(c) for c in names])
