@@ -1,11 +1,12 @@
-"""External induced suffix sorting with common-prefix values.
+"""Induced suffix sorting with common-prefix values; its queues may spill to disk.
 
 Suffixes of an integer string are sorted by recursive induction: the substrings between leftmost-S positions are sorted
 and named, the string of names is sorted by the same procedure (or by prefix doubling once it fits in memory), and the
 order of all suffixes is induced in two scans. A priority queue carries tuples (position, common prefix with the tuple
 before it) keyed by first symbol and arrival: during a scan, symbols only grow (or only fall), so the queue is a list of
-first-in-first-out runs per symbol. Runs beyond the memory limit are spilled to disk and read back block by block, and
-the arrays of a level live in files once they are larger than the limit.
+first-in-first-out runs per symbol. Runs beyond the memory limit are spilled to disk and read back block by block. Only
+these runs leave memory: text, types, places, ranks and names of a level, and the order that a recursive level returns,
+are arrays in memory, and ``Space.array`` has no caller.
 
 Common prefixes are carried along: two neighbours in a bucket have 1 + the least value scanned between their successors.
 Only at the seam between the L and S part of a bucket are suffixes compared directly. Order and values are exact up to

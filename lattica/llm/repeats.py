@@ -5,8 +5,10 @@ A suffix array of the whole corpus does not fit a task, so the work is cut witho
 window is named by the least hash among its ``GRAM``-byte substrings; equal windows have equal names, wherever they
 stand. Maximal runs of windows of one name are segments. Names that occur once hold no match. The segments of a name that
 occurs more often go to one shard; equal segments are sent once, with their count. In a shard, the segments are laid end
-to end and sorted by external induced sorting with common-prefix values (``induced``): neighbours that agree on ``depth``
-symbols are matches. Shards may be larger than memory; their queues and arrays then live on disk.
+to end and sorted by induced sorting with common-prefix values (``induced``): neighbours that agree on ``depth`` symbols
+are matches. A shard is sorted in memory. Shards aim at ``SHARD_BYTES``, far below the sizes from which queues spill and
+names are sorted by recursion, so names are sorted by prefix doubling. The size of a shard is aimed at, not bounded: a
+name's segments stay together up to ``hot`` of them, whatever their bytes.
 
 Documents with equal texts are settled by their text alone: such a text of ``depth`` bytes or more goes as a whole, and
 one copy stands for all in the search. Names that hold more than ``hot`` unlike segments (the surroundings of a passage
