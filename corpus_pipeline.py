@@ -3,7 +3,8 @@
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before it kept; the first is given the documents.
 All but the last return the columns of ``docs`` as they came, so extra columns pass through.
 
-Defined results: documents whose language cannot be told (null text, no letter, or two codewords exactly as near) go;
+Defined results: documents without a letter (null texts too) go; those of unsure language (codewords as near, or no
+labelled document to learn from) stay;
 of each near-duplicate component one row stays; documents with a benchmark passage go; secrets are masked in the text;
 the last stage gives the tokens of what is left. Empty tables stay empty; repeated rows are near-duplicates.
 """
@@ -22,8 +23,10 @@ ORACLE_SQL: str | None = None
 
 
 def tell_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents that have a language; documents of unsure language are kept as they are."""
+    """Keeps documents that have letters; documents of unsure language are kept as they are."""
     model = language.train(docs)
+    if not model.languages:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
     names = docs.columns
     plain = docs.toDF(*[f"c{i}" for i in range(len(names))])  # no column can clash with those of the prediction
     found = language.identify(plain, model, text=f"c{names.index('text')}")
