@@ -1,8 +1,12 @@
 """Connected components of a graph given as edges, with DataFrame operations only.
 
-Minimum labels spread over edges, roots hook onto smaller labels, and labels are shortened by pointer jumping, so the
-number of rounds grows with the logarithm of the longest path. Every step is a grouped minimum (combined before the
-shuffle) or an equi-join; no neighbourhood is ever gathered. Each round is written in the shared folder.
+An edge is stored once, from its smaller node u to its larger node v. In a round every node that is some edge's v takes
+the smallest of its neighbours (a grouped minimum, combined before the shuffle), the trees that arise are flattened by
+pointer jumping, and the edges are contracted: both ends are replaced by their roots, loops and repeats go. What a node
+became is kept apart, and the rounds are put together at the end, from the last to the first. A node that takes nothing
+in a round is joined by a neighbour in it or has a smaller neighbour in the next, so the nodes left halve at least every
+two rounds, and the edges shrink with them. No neighbourhood is gathered; every join has plain written tables on both
+sides, so a node that very many edges share is split by the adaptive skew join. Each step is written in the shared folder.
 """
 
 from __future__ import annotations
@@ -13,25 +17,42 @@ from pyspark.sql import functions as F
 from .common import drop, written
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
+def _contracted(edges: DataFrame) -> DataFrame:
+    return edges.where("u != v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+
+
+def _flat(hooks: DataFrame) -> DataFrame:
+    """(v, up) with ``up`` the root of v's tree, from (v, up) with any smaller node of it."""
+    spark = hooks.sparkSession
+    while True:
+        above = hooks.select(F.col("v").alias("up"), F.col("up").alias("top"))
+        new = written(spark, hooks.join(above, "up", "left").select("v", F.coalesce("top", "up").alias("up"), F.col("top").isNotNull().alias("moved")), "jumps")
+        drop(spark, hooks)
+        hooks = new
+        if not hooks.where("moved").limit(1).count():
+            return hooks.drop("moved")
+        hooks = hooks.drop("moved")
+
+
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, label) for every node of ``edges``: label is the smallest node of its component. Nulls are not nodes."""
     spark = edges.sparkSession
-    one = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).select(F.col(a).alias("u"), F.col(b).alias("v"))
-    both = written(spark, one.union(one.select("v", "u")).distinct(), "edges")
-    label = written(spark, both.groupBy(F.col("u").alias("node")).agg(F.least(F.col("node"), F.min("v")).alias("label")), "labels")
-    for _ in range(rounds):
-        seen = both.join(label.select(F.col("node").alias("v"), F.col("label").alias("near")), "v").groupBy(F.col("u").alias("node")).agg(F.min("near").alias("near"))
-        reach = label.join(seen, "node").select("node", "label", F.least("label", "near").alias("low"))
-        hooks = reach.where("low < label").select(F.col("label").alias("node"), "low")  # a root takes the least its tree has seen
-        found = reach.select("node", "low").union(hooks).groupBy("node").agg(F.min("low").alias("low"))
-        found = written(spark, found, "found")
-        up = found.select(F.col("node").alias("low"), F.col("low").alias("up"))
-        new = written(spark, found.join(up, "low", "left").select("node", F.coalesce("up", "low").alias("label")), "labels")
-        changed = new.join(label.withColumnRenamed("label", "was"), "node").where("label != was").limit(1).count()
-        drop(spark, found)
+    there = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(a).alias("u"), F.col(b).alias("v"))
+    left, rounds = written(spark, _contracted(there), "edges"), []
+    while left.limit(1).count():
+        root = _flat(written(spark, left.groupBy("v").agg(F.min("u").alias("up")), "hooks"))
+        rounds.append(root)
+        ends = left.join(root.select(F.col("v").alias("u"), F.col("up").alias("ru")), "u", "left").join(root.select("v", F.col("up").alias("rv")), "v")
+        new = written(spark, _contracted(ends.select(F.coalesce("ru", "u").alias("u"), F.col("rv").alias("v"))), "edges")
+        drop(spark, left)
+        left = new
+    if not rounds:
+        return left.select(F.col("u").alias("node"), F.col("v").alias("label"))
+    label = rounds.pop().select(F.col("v").alias("node"), F.col("up").alias("label"))
+    while rounds:
+        # Nodes of later rounds are roots of this one, so no node is in both parts.
+        early = rounds.pop().join(label.select(F.col("node").alias("up"), F.col("label").alias("last")), "up", "left")
+        new = written(spark, early.select(F.col("v").alias("node"), F.coalesce("last", "up").alias("label")).union(label), "labels")
         drop(spark, label)
         label = new
-        if not changed:
-            drop(spark, both)
-            return label
-    raise RuntimeError("components did not settle")
+    return label.union(label.select(F.col("label").alias("node"), "label").distinct())

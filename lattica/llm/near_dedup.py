@@ -8,9 +8,11 @@ common is (1 - .8^2)^10 + (1 - .8^3)^13 = 1.3e-4, at 0.9 it is below 1e-6.
 
 Classes that meet in a table are tied to the smallest of them (a star, not all pairs). Ties with fewer than ``shared``
 of 23 equal sub-keys are dropped: they are chance (a link at 0.8 has 13 on average and fewer than 5 once in 1e5). The
-connected components of the ties are candidate groups. Within a group every pair is decided on full sets: blocks of
-bounded size are compared by an incidence product, then pairs of blocks that hold more than one confirmed component.
-Only the links of a spanning forest leave a task.
+connected components of the ties are candidate groups. Within a group every pair is decided on full sets. Blocks of
+bounded size are compared by an incidence product. Then one member of each confirmed component stands for it in blocks of
+their own, round after round while that finds links, so that a dense group is joined in time linear in its size. Last,
+pairs of blocks that still hold more than one component are compared. Only the links of a spanning forest leave a task.
+Classes are told apart by 128 bits of a digest; their short ids are 64 bits of it, mended where two classes share them.
 
 Hot tables: sub-keys that many classes share are counted first; a key of two hot sub-keys is salted over 64 partitions
 whose centres are tied in a second, small step. The list of hot sub-keys is bounded by 50,000 by its threshold.
@@ -28,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import by_bytes, written
@@ -38,7 +40,7 @@ FIRST, FIRST_K, SECOND, SECOND_K = 10, 2, 13, 3
 _HASHES = FIRST * FIRST_K + SECOND * SECOND_K
 SALTS = 64
 MEMBERS, SHINGLES = 400, 400_000  # of a block
-BROADCAST_ROWS = 500_000
+BROADCAST_ITEMS = 100_000  #: Rows, or items of their lists, that a broadcast side has at most (about 10 MB).
 _rng = np.random.default_rng(20260101)
 _MUL = _rng.integers(0, 1 << 63, _HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _rng.integers(0, 1 << 63, _HASHES, dtype=np.uint64)
@@ -83,11 +85,12 @@ def shingle_sets(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
     return h, np.searchsorted(owner, np.arange(n + 1))
 
 
-def class_ids(h: np.ndarray, off: np.ndarray) -> list[int | None]:
-    """An id of each set: 64 bits of a digest of its hashes; None for empty sets."""
+def class_ids(h: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """(sets, 2) two halves of a 128-bit digest of the hashes of each set; zeros for empty sets."""
     data = memoryview(h.astype("<u8").tobytes())
     cut = (off * 8).tolist()
-    return [int.from_bytes(hashlib.blake2b(data[a:b], digest_size=8).digest(), "little", signed=True) if b > a else None for a, b in zip(cut[:-1], cut[1:])]
+    digests = b"".join(hashlib.blake2b(data[a:b], digest_size=16).digest() if b > a else bytes(16) for a, b in zip(cut[:-1], cut[1:]))
+    return np.frombuffer(digests, "<i8").reshape(-1, 2)
 
 
 def sub_keys(h: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -112,18 +115,32 @@ def sub_keys(h: np.ndarray, off: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, key: str, text: str, k: int) -> DataFrame:
-    """key, th (hash of the text), n_shingles, cid (class), subs of every document."""
+    """key, th (hash of the text), n_shingles, d1 and d2 (digest of the set, null if empty), subs of every document."""
 
     def run(batches):
         for batch in by_bytes(batches, text, 3 << 20):
             h, off = shingle_sets(batch.column(2), k)
-            ids = class_ids(h, off)
+            ids, none = class_ids(h, off), np.diff(off) == 0
             subs = sub_keys(h, off).view(np.int64)
             cut = pa.array(np.arange(len(ids) + 1, dtype=np.int32) * subs.shape[1])
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(np.diff(off)), pa.array(ids, pa.int64()), pa.ListArray.from_arrays(cut, pa.array(subs.ravel()))], names=[key, "th", "n_shingles", "cid", "subs"])
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(np.diff(off)), *[pa.array(ids[:, j], mask=none) for j in (0, 1)], pa.ListArray.from_arrays(cut, pa.array(subs.ravel()))], names=[key, "th", "n_shingles", "d1", "d2", "subs"])
 
     kind = dict(docs.dtypes)[key]
-    return docs.select(key, F.xxhash64(text).alias("th"), text).mapInArrow(run, f"`{key}` {kind}, th long, n_shingles long, cid long, subs array<long>")
+    return docs.select(key, F.xxhash64(text).alias("th"), text).mapInArrow(run, f"`{key}` {kind}, th long, n_shingles long, d1 long, d2 long, subs array<long>")
+
+
+def distinct_sets(signed: DataFrame, key: str) -> DataFrame:
+    """cid (a 64-bit id), d1, d2, rep (smallest key), n, subs of every class of equal sets."""
+    spark = signed.sparkSession
+    classes = signed.where("d1 is not null").groupBy("d1", "d2").agg(F.min(key).alias("rep"), F.first("n_shingles").alias("n"), F.first("subs").alias("subs"))
+    classes = written(spark, classes.withColumn("cid", F.col("d1")), "classes")
+    twice = lambda: classes.groupBy("cid").count().where("count > 1").select("cid", F.lit(True).alias("twin"))
+    if twice().limit(1).count():
+        mended = F.when(F.col("twin"), F.xxhash64("d2", "d1")).otherwise(F.col("cid"))
+        classes = written(spark, classes.join(written(spark, twice(), "twins"), "cid", "left").withColumn("cid", mended).drop("twin"), "classes")
+        if twice().limit(1).count():
+            raise RuntimeError("two classes share a 64-bit id after mending")
+    return classes
 
 
 def ties(spark: SparkSession, classes: DataFrame, total: int) -> DataFrame:
@@ -220,14 +237,14 @@ def forest(values: np.ndarray, off: np.ndarray, group: np.ndarray | None, num: i
 
 
 def confirmed(docs: DataFrame, placed: DataFrame, key: str, text: str, k: int, num: int, den: int) -> DataFrame:
-    """(a, b) links found within the blocks of ``placed`` (rep, cid, blocks array<struct<g, p>>, comp): sets are made from the texts of the class representatives and sent to their blocks.
+    """(a, b) links found within the blocks of ``placed`` (rep, cid, d1, d2, blocks array<struct<g, p>>, comp): sets are made from the texts of the class representatives and sent to their blocks.
 
     A block is named by the group g and the pair of blocks p; rows of it are compared with each other where comp differs
     (null: with all).
     """
     spark = docs.sparkSession
-    few = placed.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    wanted = placed.select(F.col("rep").alias("_rep"), F.col("cid").alias("_cid"), F.col("blocks").alias("_blocks"), F.col("comp").alias("_comp"))
+    few = (placed.agg(F.sum(F.size("blocks"))).first()[0] or 0) <= BROADCAST_ITEMS
+    wanted = placed.select(F.col("rep").alias("_rep"), *[F.col(c).alias(f"_{c}") for c in ("cid", "blocks", "comp", "d1", "d2")])
     here = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
     rows = here.join(F.broadcast(wanted) if few else wanted, F.col("_key").eqNullSafe(F.col("_rep")))
 
@@ -236,15 +253,16 @@ def confirmed(docs: DataFrame, placed: DataFrame, key: str, text: str, k: int, n
             h, off = shingle_sets(batch.column(0), k)
             ids = class_ids(h, off)
             g, p, c, comp, lists = [], [], [], [], []
+            same = (ids[:, 0] == batch.column(4).to_numpy()) & (ids[:, 1] == batch.column(5).to_numpy())  # of a repeated key
             for i, (want, blocks, cc) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist())):
-                if ids[i] == want:
+                if same[i]:
                     for block in blocks:
                         g.append(block["g"]), p.append(block["p"]), c.append(want), comp.append(cc)
                         lists.append(i)
             column = pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(h.view(np.int64))).take(pa.array(lists, pa.int64()))
             yield pa.record_batch([pa.array(g, pa.int64()), pa.array(p, pa.int64()), pa.array(c, pa.int64()), pa.array(comp, pa.int64()), column], names=["g", "p", "cid", "comp", "shingles"])
 
-    spread = rows.select("_text", "_cid", "_blocks", "_comp").mapInArrow(sets, "g long, p long, cid long, comp long, shingles array<long>")
+    spread = rows.select("_text", "_cid", "_blocks", "_comp", "_d1", "_d2").mapInArrow(sets, "g long, p long, cid long, comp long, shingles array<long>")
 
     def compare(rows: list, name) -> list[tuple[int, int]]:
         seen, cids, comps, parts = set(), [], [], []
@@ -280,41 +298,64 @@ def confirmed(docs: DataFrame, placed: DataFrame, key: str, text: str, k: int, n
     return spread.repartition("g", "p").sortWithinPartitions("g", "p", "cid").mapInArrow(links, "a long, b long")
 
 
+def _blocks(members: Column, shingles: Column) -> Column:
+    return F.greatest(F.ceil(members / MEMBERS), F.ceil(shingles / SHINGLES))
+
+
+def _one_block(label: str, block: Column) -> Column:
+    return F.array(F.struct(F.col(label).alias("g"), block.alias("p"))).alias("blocks")
+
+
 def group_classes(spark: SparkSession, docs: DataFrame, classes: DataFrame, key: str, text: str, k: int, num: int, den: int, shared: int) -> DataFrame:
     """(node, label): confirmed components of the classes that have links."""
     total = classes.count()
-    tied = ties(spark, classes, total)
     side = lambda c: classes.select(F.col("cid").alias(c), F.col("subs").alias(f"s_{c}"))
-    tied = written(spark, tied, "ties")
+    tied = written(spark, ties(spark, classes, total), "ties")
     tied = tied.join(side("a"), "a").join(side("b"), "b").where(F.size(F.array_intersect("s_a", "s_b")) >= shared).select("a", "b")
     candidates = components(tied)
-    members = candidates.join(classes.select(F.col("cid").alias("node"), "rep", "n"), "node")
-    sizes = candidates.join(classes.select(F.col("cid").alias("node"), "n"), "node").groupBy("label").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("w"))
-    blocks = F.greatest(F.ceil(F.col("m") / MEMBERS), F.ceil(F.col("w") / SHINGLES))
-    members = written(spark, members.join(sizes.select("label", blocks.alias("nb")), "label").select(F.col("node").alias("cid"), "rep", "n", "label", "nb"), "members")
-    own = F.pmod(F.xxhash64("cid"), F.col("nb"))
-    first = members.select("rep", "cid", F.array(F.struct(F.col("label").alias("g"), own.alias("p"))).alias("blocks"), F.lit(None).cast("long").alias("comp"))
+    # Sums by label are written before they are joined: a label of very many rows is then split by the adaptive join.
+    members = written(spark, candidates.join(classes.select(F.col("cid").alias("node"), "d1", "d2", "rep", "n"), "node").withColumnRenamed("node", "cid"), "members")
+    sizes = members.groupBy("label").agg(_blocks(F.count(F.lit(1)), F.sum("n")).alias("nb"))
+    members = written(spark, members.join(written(spark, sizes, "sizes"), "label"), "members")
+    who = ["rep", "cid", "d1", "d2"]
+    first = members.select(*who, _one_block("label", F.pmod(F.xxhash64("cid"), F.col("nb"))), F.lit(None).cast("long").alias("comp"))
     links = written(spark, confirmed(docs, first, key, text, k, num, den), "links")
-    many = members.where("nb > 1")
-    if not many.limit(1).count():
+    large = members.where("nb > 1").drop("nb")
+    if not large.limit(1).count():
         return components(links)
-    # Second pass over groups of several blocks: blocks hold one large component each, or several small ones, and only
-    # pairs of blocks that could still be linked are formed.
-    comp = components(links).select(F.col("node").alias("cid"), F.col("label").alias("comp"))
-    many = many.join(comp, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
+    turn = 0
+    while True:  # one member stands for each component, another one in each turn
+        turn += 1
+        comp = components(links).select(F.col("node").alias("cid"), F.col("label").alias("comp"))
+        many = written(spark, large.join(comp, "cid", "left").withColumn("comp", F.coalesce("comp", "cid")), "parts")
+        heads = many.groupBy("label", "comp").agg(F.min_by(F.struct(*who, "n"), F.xxhash64("cid", F.lit(turn))).alias("h")).select("label", "comp", "h.*")
+        heads = written(spark, heads, "heads")
+        apart = heads.groupBy("label").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("w")).where("c > 1").select("label", _blocks(F.col("c"), F.col("w")).alias("nb"))
+        apart = written(spark, apart, "apart")
+        if not apart.limit(1).count():
+            return components(links)
+        placed = heads.join(apart, "label").select(*who, _one_block("label", F.pmod(F.xxhash64("cid", F.lit(turn)), F.col("nb"))), "comp")
+        more = written(spark, confirmed(docs, written(spark, placed, "placed"), key, text, k, num, den), "links")
+        if not more.limit(1).count():
+            break
+        links = links.union(more)
+    # What is left of several components: blocks hold one large component each, or several small ones, and only pairs of
+    # blocks that could still be linked are formed.
+    many = written(spark, many.join(apart, "label"), "apart")
     part = many.groupBy("label", "comp").agg(F.count(F.lit(1)).alias("cm"), F.sum("n").alias("cw"))
-    large = (F.col("cm") * 2 > MEMBERS) | (F.col("cw") * 2 > SHINGLES)
-    split = F.when(large, F.greatest(F.ceil(F.col("cm") / MEMBERS), F.ceil(F.col("cw") / SHINGLES))).otherwise(F.lit(0))
-    many = many.join(part.select("label", "comp", split.alias("split")), ["label", "comp"])
-    bin_ = F.when(F.col("split") > 0, F.xxhash64("comp", F.pmod(F.xxhash64("cid"), F.col("split")))).otherwise(F.pmod(F.xxhash64("comp", F.lit(1)), F.col("nb")))
-    many = written(spark, many.withColumn("bin", bin_), "bins")
-    bins = many.groupBy("label", "bin").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    split = F.when((F.col("cm") * 2 > MEMBERS) | (F.col("cw") * 2 > SHINGLES), _blocks(F.col("cm"), F.col("cw"))).otherwise(F.lit(0))
+    part = written(spark, part.select("label", "comp", split.alias("split"), "cm", "cw"), "split")
+    small = part.where("split = 0").groupBy("label").agg(_blocks(F.sum("cm"), F.sum("cw")).alias("sb"))
+    part = written(spark, part.join(written(spark, small, "small"), "label", "left").select("label", "comp", "split", "sb"), "split")
+    bin_ = F.when(F.col("split") > 0, F.xxhash64("comp", F.pmod(F.xxhash64("cid"), F.col("split")))).otherwise(F.pmod(F.xxhash64("comp", F.lit(1)), F.col("sb")))
+    many = written(spark, many.join(part, ["label", "comp"]).withColumn("bin", bin_), "bins")
+    bins = written(spark, many.groupBy("label", "bin").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")), "bins")
     left, right = bins.toDF("label", "bin", "lo", "hi"), bins.toDF("label", "bin2", "lo2", "hi2")
     pairs = left.join(right, "label").where("bin <= bin2").where("not (lo = hi and lo2 = hi2 and lo = lo2)")
     pairs = pairs.select("label", "bin", "bin2", F.xxhash64("bin", "bin2").alias("p"))
     sent = pairs.select("label", "bin", "p").union(pairs.where("bin != bin2").select("label", "bin2", "p"))
-    sent = many.join(sent, ["label", "bin"]).groupBy("rep", "cid", "comp").agg(F.collect_list(F.struct(F.col("label").alias("g"), "p")).alias("blocks"))
-    more = confirmed(docs, sent.select("rep", "cid", "blocks", "comp"), key, text, k, num, den)
+    sent = many.join(written(spark, sent, "pairs"), ["label", "bin"]).groupBy(*who, "comp").agg(F.collect_list(F.struct(F.col("label").alias("g"), "p")).alias("blocks"))
+    more = confirmed(docs, written(spark, sent, "placed"), key, text, k, num, den)
     return components(links.union(more))
 
 
@@ -323,14 +364,13 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     spark = docs.sparkSession
     docs = docs.select(key, text)
     signed = written(spark, signatures(docs, key, text, k), "signed")
-    classes = signed.where("cid is not null").groupBy("cid").agg(F.min(key).alias("rep"), F.first("n_shingles").alias("n"), F.first("subs").alias("subs"))
-    classes = written(spark, classes, "classes")
+    classes = distinct_sets(signed, key)
     found = group_classes(spark, docs, classes, key, text, k, num, den, shared)
-    named = classes.join(found.select(F.col("node").alias("cid"), "label"), "cid", "left").select("cid", "rep", F.coalesce("label", "cid").alias("label"))
-    least = named.groupBy("label").agg(F.min("rep").alias("component_id"))
-    named = written(spark, named.join(least, "label").select(F.col("cid").alias("c"), "label", "component_id"), "named")
-    out = signed.join(named, F.col("cid") == F.col("c"), "left")
-    whole = F.when(F.col("cid").isNull(), F.col(key)).otherwise(F.col("component_id"))
+    named = written(spark, classes.join(found.select(F.col("node").alias("cid"), "label"), "cid", "left").select("d1", "d2", "rep", F.coalesce("label", "cid").alias("label")), "named")
+    least = written(spark, named.groupBy("label").agg(F.min("rep").alias("component_id")), "least")
+    named = written(spark, named.join(least, "label").select(F.col("d1").alias("c1"), F.col("d2").alias("c2"), "label", "component_id"), "named")
+    out = signed.join(named, (F.col("d1") == F.col("c1")) & (F.col("d2") == F.col("c2")), "left")
+    whole = F.when(F.col("d1").isNull(), F.col(key)).otherwise(F.col("component_id"))
     return out.select(key, "th", "n_shingles", "label", whole.alias("component_id")).withColumn("kept", F.col(key).eqNullSafe(F.col("component_id")))
 
 
@@ -340,7 +380,7 @@ def distinct_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
     found = written(spark, near_duplicates(docs, key, text, k, num, den).where("label is not null").select(F.col(key).alias("_id"), "th", "label"), "members")
     each = found.groupBy("_id", "th", "label").agg(F.count(F.lit(1)).alias("c"))
     order = F.struct(F.col("_id").isNull(), F.col("_id"), F.col("th"))
-    best = found.groupBy("label").agg(F.min(order).alias("best"))
+    best = written(spark, found.groupBy("label").agg(F.min(order).alias("best")), "best")
     each = written(spark, each.join(best, "label").select("_id", "th", "c", (order == F.col("best")).alias("stays")), "choice")
     # Who goes is the smaller side, and only repeated rows of those who stay need a shuffle of their texts.
     here = F.xxhash64(F.col(text))
@@ -357,4 +397,4 @@ def distinct_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
 
 def _small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+    return F.broadcast(df) if df.limit(BROADCAST_ITEMS + 1).count() <= BROADCAST_ITEMS else df
