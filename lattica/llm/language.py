@@ -5,9 +5,10 @@ of words, predicts that bit. Decoding is weighted by loss: a text gets the langu
 of logistic losses over the bits. The score is the softmax of the negative losses; a text is ambiguous when the second
 codeword is nearly as close.
 
-Training takes a bounded sample (``per_language`` documents of each language, ``train_chars`` code points of each) of the
-documents that may be learned from; the rows are chosen by a hash of the document id, so the sample does not depend on
-order or partitioning. Prediction reads whole texts: the n-gram sums of a word are computed once per distinct word.
+Training takes a bounded sample of the documents that may be learned from: for each language the ``per_language``
+documents with the smallest hash of id and text, so repeated rows count once and the sample does not depend on order or
+partitioning. Whole texts are read, in training (with memory for a part of the words at a time) and in prediction, where the
+n-gram sums of a word are computed once per distinct word.
 
 Defined results: ``und`` with score 0 where the text is null or has no letter, and where no model could be learned (no
 labelled rows); repeated rows get equal results; extra columns are ignored.
@@ -24,7 +25,6 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import by_bytes
 
@@ -143,11 +143,13 @@ def fit(rows: list[tuple[str, str]], bits: int = 24, epochs: int = 6, seed: int
     model = Model(languages, code, np.zeros((BUCKETS, code.shape[1] if languages else 1)), np.zeros(code.shape[1] if languages else 1))
     data = []
     for text, lang in rows:
-        parts = [g for g, _ in ngrams(text.split())]
-        if parts:
-            g = np.concatenate(parts)
-            values, counts = np.unique(g, return_counts=True)
-            data.append((values, counts / np.sqrt(len(g)), code[languages.index(lang)]))
+        words, counts = text.split(), np.zeros(BUCKETS)
+        for a in range(0, len(words), _CHUNK):
+            for g, _ in ngrams(words[a : a + _CHUNK]):
+                counts += np.bincount(g, minlength=BUCKETS)
+        values = np.flatnonzero(counts)
+        if len(values):
+            data.append((values, counts[values] / np.sqrt(counts.sum()), code[languages.index(lang)]))
     rng = np.random.default_rng(seed)
     w, b = model.weights, model.bias
     for epoch in range(epochs):
@@ -167,28 +169,33 @@ def held_out(key: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(key).cast("string")) % 3 == 1, F.lit(False))
 
 
-def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = 400, train_chars: int = 4000, bits: int = 24) -> Model:
-    """A model of the documents outside the held-out fold; ``per_language`` x ``train_chars`` bounds what is collected."""
-    usable = docs.where(~held_out(key) & F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}"))
-    # An even choice: the rows with the smallest hash of the id, kept per language by a bounded aggregate.
-    pick = F.struct(F.xxhash64(F.col(key), F.lit(2026)).alias("h"), F.col(key).alias("k"))
-    rank = F.row_number().over(Window.partitionBy("_l").orderBy("_h"))
-    cells = usable.select(F.col(lang).alias("_l"), pick["h"].alias("_h"), F.pmod(pick["h"], F.lit(64)).alias("_c"))
-    first = F.row_number().over(Window.partitionBy("_l", "_c").orderBy("_h"))
-    floor = cells.withColumn("_r", first).where(F.col("_r") <= per_language).withColumn("_r", rank).where(F.col("_r") <= per_language)
-    limits = floor.groupBy("_l").agg(F.max("_h").alias("_m")).collect()
-    if not limits:
+def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = 400, bits: int = 24) -> Model:
+    """A model of the documents outside the held-out fold, from ``per_language`` whole texts of each language.
+
+    Hashes below a bound per language are collected, about twice as many as are needed by the count of its rows; a language
+    whose repeated rows leave too few gets a bound eight times as high, until there are enough or all of its rows are in.
+    """
+    usable = docs.where(~held_out(key) & F.col(lang).isNotNull())
+    counts = {r["_l"]: r["count"] for r in usable.groupBy(F.col(lang).alias("_l")).count().collect()}  # a row per language
+    if not counts:
         return fit([])
-    bound = F.coalesce(*[F.when(F.col(lang) == r["_l"], F.lit(r["_m"])) for r in limits])
-    chosen = usable.where(pick["h"] <= bound).select(pick["h"].alias("h"), F.substring(text, 1, train_chars).alias("t"), F.col(lang).alias("l")).limit(per_language * len(limits) * 2)
-    rows = sorted((r["l"], r["h"], r["t"]) for r in chosen.collect())
-    taken: dict[str, int] = {}
-    kept = []
-    for name, _, t in rows:
-        taken[name] = taken.get(name, 0) + 1
-        if taken[name] <= per_language:
-            kept.append((t, name))
-    return fit(kept, bits)
+    whole = 1 << 64
+    rows = usable.where(F.col(text).rlike(r"\p{L}")).select(F.col(lang).alias("l"), F.xxhash64(F.col(key), F.xxhash64(text), F.lit(2026)).alias("h"), F.col(text).alias("t"))
+    below = lambda bounds: F.coalesce(*[F.when((F.col("l") == name) & (F.col("h") <= F.lit(h)), F.lit(True)) for name, h in bounds.items()], F.lit(False))
+    width = {name: min(whole, whole * 2 * per_language // n) for name, n in counts.items()}
+    limits: dict[str, int] = {}
+    while width:
+        found: dict[str, list[int]] = {name: [] for name in width}
+        for r in rows.where(below({name: w - (1 << 63) - 1 for name, w in width.items()})).select("l", "h").distinct().collect():
+            found[r["l"]].append(r["h"])
+        for name, hashes in found.items():
+            if len(hashes) >= per_language:
+                limits[name] = sorted(hashes)[per_language - 1]
+            elif width[name] == whole:
+                limits[name] = max(hashes, default=-(1 << 63))
+        width = {name: min(whole, 8 * w) for name, w in width.items() if name not in limits}
+    chosen = {(r["l"], r["h"]): r["t"] for r in rows.where(below(limits)).dropDuplicates(["l", "h"]).collect()}
+    return fit([(chosen[k], k[0]) for k in sorted(chosen)], bits)
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text", carry: list[str] | None = None) -> DataFrame:

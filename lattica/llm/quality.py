@@ -186,50 +186,49 @@ class Chain:
         return out
 
 
-def fit(batch: Batch, states: np.ndarray, steps: int = 150, rate: float = 0.3, decay: float = 1e-3, stiff: float = 0.03) -> Chain:
-    """Maximum conditional likelihood of ``states`` (a state per line), by forward-backward over padded documents.
+def fit(batch: Batch, states: np.ndarray, steps: int = 150, rate: float = 0.3, decay: float = 1e-3, stiff: float = 0.03, piece: int = 64) -> Chain:
+    """Maximum conditional likelihood of ``states`` (a state per line), by forward-backward over chains of at most ``piece`` lines.
 
-    ``stiff`` is the penalty on transitions: labels given to whole documents would otherwise make the chain so stiff that
-    a paragraph between a repeated header and footer could not be content."""
+    Every line of a document is learned from: longer documents are cut into several chains. Chains are sorted by length, so
+    a step works on those that still have a line. ``stiff`` is the penalty on transitions: labels given to whole documents
+    would otherwise make the chain so stiff that a paragraph between a repeated header and footer could not be content."""
     model = Chain(np.zeros((FEATURES, 2)), np.zeros((2, 2)))
-    size = np.diff(batch.lines)
-    docs = np.flatnonzero(size > 0)
-    if not len(docs) or len(np.unique(states)) < 2:
+    starts = [np.arange(a, b, piece) for a, b in zip(batch.lines[:-1].tolist(), batch.lines[1:].tolist())]
+    if not sum(map(len, starts)) or len(np.unique(states)) < 2:
         model.weights[0] = (1.0, -1.0)
         return model
-    longest = int(size.max())
-    at = np.full((len(docs), longest), -1)
-    for r, d in enumerate(docs):
-        at[r, : size[d]] = np.arange(batch.lines[d], batch.lines[d + 1])
-    there = at >= 0
-    onehot = np.eye(2)[states]
+    size = np.concatenate([np.minimum(piece, b - s) for s, b in zip(starts, batch.lines[1:].tolist())])
+    order = np.argsort(-size, kind="stable")
+    first, size = np.concatenate(starts)[order], size[order]
+    longest = int(size[0])
+    live = np.searchsorted(-size, -np.arange(longest), "left")  # chains with more than t lines
+    at = np.concatenate([first[: live[t]] + t for t in range(longest)])  # lines, step by step
+    cut = np.concatenate([[0], np.cumsum(live)])
+    here = [slice(cut[t], cut[t + 1]) for t in range(longest)]
+    before = [slice(cut[t], cut[t] + live[t + 1]) for t in range(longest - 1)]  # those of step t that go on
+    features, y = batch.features[at], states[at]
+    onehot, n = np.eye(2)[y], len(at)
     pair_seen = np.zeros((2, 2))
-    both = there[:, :-1] & there[:, 1:]
-    np.add.at(pair_seen, (states[at[:, :-1][both]], states[at[:, 1:][both]]), 1)
+    for t in range(longest - 1):
+        np.add.at(pair_seen, (y[before[t]], y[here[t + 1]]), 1)
+    flat, column = features.ravel(), features.shape[1]
     m = [np.zeros((FEATURES + 1, 2)), np.zeros((2, 2))]
     v = [np.zeros((FEATURES + 1, 2)), np.zeros((2, 2))]
     for step in range(1, steps + 1):
-        u = model.unary(batch.features)
-        x = np.where(there[..., None], u[at], 0.0)
-        alpha, beta = np.zeros(x.shape), np.zeros(x.shape)
-        alpha[:, 0] = x[:, 0]
+        x = model.unary(features)
+        alpha, beta = x.copy(), np.zeros(x.shape)
         for t in range(1, longest):
-            nxt = np.logaddexp.reduce(alpha[:, t - 1, :, None] + model.transitions, 1) + x[:, t]
-            alpha[:, t] = np.where(there[:, t, None], nxt, alpha[:, t - 1])
+            alpha[here[t]] += np.logaddexp.reduce(alpha[before[t - 1], :, None] + model.transitions, 1)
+        expected = np.zeros((2, 2))
+        total = np.logaddexp.reduce(alpha, 1)  # of a chain that ends here; others take their last step's
         for t in range(longest - 2, -1, -1):
-            nxt = np.logaddexp.reduce(model.transitions + (x[:, t + 1] + beta[:, t + 1])[:, None, :], 2)
-            beta[:, t] = np.where(there[:, t + 1, None], nxt, 0.0)
-        total = np.logaddexp.reduce(alpha[:, -1], 1)
-        marg = np.exp(alpha + beta - total[:, None, None])
-        grad = np.zeros((FEATURES + 1, 2))
-        diff = onehot[at[there]] - marg[there]
-        for c in range(batch.features.shape[1]):
-            np.add.at(grad, batch.features[at[there], c], diff)
-        grad[-1] = 0
-        pairs = alpha[:, :-1, :, None] + model.transitions + (x[:, 1:] + beta[:, 1:])[:, :, None, :] - total[:, None, None, None]
-        expected = np.exp(pairs[both]).sum(0) if both.any() else 0.0
-        n = there.sum()
-        for k, (w, g) in enumerate(((model.weights, grad[:-1] / n - decay * model.weights), (model.transitions, (pair_seen - expected) / n - stiff * model.transitions))):
+            after = x[here[t + 1]] + beta[here[t + 1]]
+            beta[before[t]] = np.logaddexp.reduce(model.transitions + after[:, None, :], 2)
+            total[before[t]] = total[here[t + 1]]
+            expected += np.exp(alpha[before[t], :, None] + model.transitions + after[:, None, :] - total[before[t], None, None]).sum(0)
+        diff = onehot - np.exp(alpha + beta - total[:, None])
+        grad = np.stack([np.bincount(flat + 1, np.repeat(diff[:, s], column), FEATURES + 1)[1:] for s in (0, 1)], 1)
+        for k, (w, g) in enumerate(((model.weights, grad / n - decay * model.weights), (model.transitions, (pair_seen - expected) / n - stiff * model.transitions))):
             mk, vk = m[k][: len(w)], v[k][: len(w)]
             mk += 0.1 * (g - mk)
             vk += 0.01 * (g * g - vk)
@@ -237,17 +236,19 @@ def fit(batch: Batch, states: np.ndarray, steps: int = 150, rate: float = 0.3, d
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", sample: int = 1500, train_lines: int = 40, train_chars: int = 20_000) -> Chain:
-    """A chain learned from at most ``sample`` labelled documents, the same ones whatever the partitioning."""
+def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", sample: int = 1500) -> Chain:
+    """A chain learned from the whole texts of at most ``sample`` labelled documents, the same ones whatever the partitioning.
+
+    An id that several rows hold is learned from once, by the row with the smallest hash of the text."""
     one = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("_k")).agg(F.min(label).alias("_a"), F.max(label).alias("_b"))
     one = one.where("_a = _b").select("_k", F.col("_a").alias("_y"), F.xxhash64("_k", F.lit(11)).alias("_h"))
     # Half of the sample from each class, where there are as many.
     chosen = one.where("_y = 0").orderBy("_h").limit(sample // 2).union(one.where("_y = 1").orderBy("_h").limit(sample - sample // 2))
     few = F.broadcast(docs.sparkSession.createDataFrame(chosen.collect(), chosen.schema))  # at most ``sample`` rows
-    rows = docs.join(few, docs[key] == few["_k"]).select("_h", "_y", F.substring(text, 1, train_chars).alias("t")).limit(2 * sample).collect()
-    rows = sorted((r["_h"], r["t"] or "", r["_y"]) for r in rows)[:sample]
-    cut = ["\n".join(t.split("\n")[:train_lines]) for _, t, _ in rows]
-    batch = measure(pa.array(cut, pa.string()))
+    rows = docs.select(F.col(key).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("t")).join(few, F.col("_id") == F.col("_k"))
+    rows = rows.groupBy("_h", "_y", "_k").agg(F.min_by("t", F.xxhash64("t")).alias("t")).collect()  # at most ``sample`` rows
+    rows = sorted((r["_h"], r["t"], r["_y"]) for r in rows)
+    batch = measure(pa.array([t for _, t, _ in rows], pa.string()))
     low = np.repeat(np.array([not y for *_, y in rows], bool), np.diff(batch.lines))
     return fit(batch, (low | batch.often).astype(int))
 
