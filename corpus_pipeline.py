@@ -6,7 +6,8 @@ All but the last return the columns of ``docs`` as they came, so extra columns p
 Defined results: documents without a letter (null texts too) go; those of unsure language (codewords as near, or no
 labelled document to learn from) stay;
 of each near-duplicate component one row stays; documents with a benchmark passage go; secrets are masked in the text;
-the last stage gives the tokens of what is left. Empty tables stay empty; repeated rows are near-duplicates.
+the last stage gives the tokens of what is left. Empty tables stay empty; repeated rows are near-duplicates. What a stage
+keeps is written once, since the next one reads it more than once.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.llm import bpe, decontaminate, language, near_dedup, secrets
-from lattica.llm.common import table
+from lattica.llm.common import table, written
 from lattica.llm.queries import vocabulary
 
 #: Learned models, training draws and hashed candidate search: no SQL states these rows; tests/llm holds brute force.
@@ -64,6 +65,6 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = written(spark, stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
