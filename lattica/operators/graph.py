@@ -1,7 +1,8 @@
 """Graph operators on the pattern of a matrix: independent sets, colourings, levels, orderings.
 
 The distributed forms work in rounds of joins and grouped minima, each round written in the shared folder. Priorities are
-the positions themselves (which gives the greedy result in index order) or a hash of them (fewer rounds).
+the positions themselves (which gives the greedy result in index order; as many rounds as its longest chain of decisions)
+or a hash of them (rounds grow with the logarithm). Every round settles some row, so the loops run until all are settled.
 """
 
 from __future__ import annotations
@@ -22,15 +23,15 @@ def nodes(m: DataFrame) -> DataFrame:
     return m.select("i").union(m.select("j")).distinct()
 
 
-def independent_set(m: DataFrame, hashed: bool = False, most: int = 1000) -> DataFrame:
+def independent_set(m: DataFrame, hashed: bool = False) -> DataFrame:
     """(i, picked): a maximal independent set; with index priorities it is that of the greedy pass in index order."""
     edges = written(neighbours(m), "edges")
     rank: Column = F.struct(F.xxhash64("i"), F.col("i")) if hashed else F.struct(F.col("i"))
     state = written(nodes(m).select("i", F.lit(-1).alias("s"), rank.alias("p")), "mis")  # -1 open, 0 out, 1 in
-    for _ in range(most):
+    while True:
         live = state.where("s = -1")
         if not live.limit(1).count():
-            break
+            return state.select("i", F.col("s").cast("int").alias("picked"))
         rival = edges.join(live.select(F.col("i").alias("j"), F.col("p").alias("q")), "j").groupBy("i").agg(F.min("q").alias("q"))
         won = live.join(rival, "i", "left").where(F.col("q").isNull() | (F.col("p") < F.col("q"))).select("i", F.lit(1).alias("w"))
         won = written(won, "won")
@@ -39,19 +40,17 @@ def independent_set(m: DataFrame, hashed: bool = False, most: int = 1000) -> Dat
         old, state = state, written(new, "mis")
         drop(old)
         drop(won)
-    return state.select("i", F.col("s").cast("int").alias("picked"))
 
 
-def colouring(m: DataFrame, hashed: bool = True, most: int = 200) -> DataFrame:
+def colouring(m: DataFrame, hashed: bool = True) -> DataFrame:
     """(i, c): colours from 0, no two neighbours alike: colour k is the independent set of round k."""
-    left, out = m, None
+    left, out, c = m, None, 0
     rest = written(nodes(m), "rest")
-    for c in range(most):
-        if not rest.limit(1).count():
-            break
+    while rest.limit(1).count():
         alone = rest.select("i", F.col("i").alias("j"))
         picked = independent_set(left.select("i", "j").union(alone), hashed).where("picked = 1").select("i")
         mine = picked.withColumn("c", F.lit(c))
+        c += 1
         out = mine if out is None else out.union(mine)
         rest = written(rest.join(picked, "i", "left_anti"), "rest")
         left = written(m.select("i", "j").join(rest, "i", "left_semi").join(rest.select(F.col("i").alias("j")), "j", "left_semi"), "left")
@@ -64,20 +63,19 @@ def strong_pattern(m: DataFrame, theta: float) -> DataFrame:
     return m.join(total, "i").where((F.col("i") == F.col("j")) | (F.abs("a") > theta * F.col("_t"))).select("i", "j", "a")
 
 
-def levels(m: DataFrame, lower: bool = True, most: int = 10_000) -> DataFrame:
-    """(i, level) of a triangular solve: 0 without predecessors, else 1 + the largest level of a predecessor."""
+def levels(m: DataFrame, lower: bool = True) -> DataFrame:
+    """(i, level) of a triangular solve: 0 without predecessors, else 1 + the largest level of a predecessor; a round per level."""
     side = "j < i" if lower else "j > i"
     before = written(m.where(side).select("i", "j").distinct(), "before")
     state = written(nodes(m).select("i", F.lit(0).alias("level")), "levels")
-    for _ in range(most):
+    while True:
         up = before.join(state.select(F.col("i").alias("j"), F.col("level").alias("_l")), "j").groupBy("i").agg((F.max("_l") + 1).alias("_n"))
         new = written(state.join(up, "i", "left").select("i", F.greatest(F.col("level"), F.coalesce("_n", F.lit(0))).alias("level"), F.col("level").alias("was")), "levels")
         changed = new.where("level != was").limit(1).count()
         drop(state)
         state = new.select("i", "level")
         if not changed:
-            break
-    return state
+            return state
 
 
 def breadth_levels(m: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
@@ -142,3 +140,15 @@ def power_iteration(m: DataFrame, start: DataFrame, steps: int) -> tuple[DataFra
         value = float(s["r"] / s["o"]) if s["o"] else 0.0
         v = w.select("i", (F.col("x") / (s["n"] ** 0.5)).alias("x"))
     return v, value
+
+
+def largest_eigenvalue(m: DataFrame, tol: float = 1e-6, steps: int = 1000) -> float:
+    """The eigenvalue of largest size of a symmetric matrix: products until the quotient changes by at most ``tol`` of itself."""
+    v = nodes(m).select("i", (1.0 + F.pmod(F.col("i") * 2654435761, F.lit(1000003)) / 1000003.0).alias("x"))
+    last = None
+    for _ in range(steps):
+        v, value = power_iteration(m, v, 1)
+        if last is not None and abs(value - last) <= tol * abs(value):
+            return value
+        last = value
+    raise RuntimeError(f"no eigenvalue within {tol} after {steps} products")

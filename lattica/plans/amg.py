@@ -3,6 +3,10 @@
 The relational pieces (strength, splitting, interpolation, truncation, Galerkin products) are DataFrame plans; ``setup``
 runs them level by level. A level of at most ``local_rows`` rows is collected once (its size is checked) and continued by
 the exact sequential algorithms of ``local``. Cycles treat both kinds of level through one small interface.
+
+On tables, classical splitting (rs, rsp, mis) is ``pmis`` and VMB aggregation is ``root_aggregates``: other algorithms with
+the same invariants. What has only one form is refused elsewhere (``refuse``), never swapped for another method: energy
+interpolation above 4000 rows, pairwise aggregation on tables.
 """
 
 from __future__ import annotations
@@ -13,11 +17,11 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import matrix, products
+from ..operators import matrix, products, vector
 from ..operators.graph import colouring
 from ..tables import written
 from . import krylov, local, smoothers
-from .space import LocalMatrix, LocalSpace
+from .space import FrameSpace, LocalMatrix, LocalSpace, multiply
 
 
 @dataclass(frozen=True)
@@ -28,8 +32,9 @@ class AmgParams:
     theta: float = 0.3
     max_row_sum: float = 0.9
     truncation: float = 0.2
-    interpolation: str = "direct"  # direct, standard, extended, energy (levels in memory), reduction
+    interpolation: str = "direct"  # direct, standard, extended, energy (up to 4000 rows), reduction
     coarsening: str = "rs"  # rs, rsp (|a|), mis, aggressive
+    aggressive_levels: int = 1
     aggregation: str = "vmb"  # vmb, pairwise
     coupled: float = 0.08
     max_aggregation: int = 20
@@ -50,6 +55,26 @@ class AmgParams:
     tol: float = 1e-6
     maxit: int = 100
 
+    def __post_init__(self):
+        for name, known in _KNOWN.items():
+            if getattr(self, name) not in known.split():
+                raise ValueError(f"{name} {getattr(self, name)!r} is none of {known}")
+
+
+_KNOWN = {
+    "kind": "classical sa ua", "interpolation": "direct standard extended energy reduction", "coarsening": "rs rsp mis aggressive",
+    "aggregation": "vmb pairwise", "smoother": "jacobi gs sgs sor ssor l1 poly", "cycle": "v w vw wv amli kcycle",
+}
+ENERGY_ROWS = 4000
+
+
+def refuse(q: AmgParams, rows: int, tables: bool) -> None:
+    """Raises where a level of so many rows has no form of a method that was asked for."""
+    if q.kind == "classical" and q.interpolation == "energy" and (tables or rows > ENERGY_ROWS):
+        raise ValueError(f"energy interpolation goes up to {ENERGY_ROWS} rows, not {rows}: use extended, or classical levels of fewer rows")
+    if q.kind != "classical" and q.aggregation == "pairwise" and tables:
+        raise ValueError(f"pairwise aggregation is sequential: {rows} rows are above local_rows; use vmb or raise local_rows")
+
 
 # Relational pieces
 
@@ -72,7 +97,7 @@ def distance_two(s: DataFrame, coarse: DataFrame, paths: int = 1) -> DataFrame:
     return both.groupBy("i", "j").agg(F.countDistinct("via").alias("n")).where(F.col("n") >= paths).select("i", "j")
 
 
-def pmis(m: DataFrame, s: DataFrame, most: int = 200) -> DataFrame:
+def pmis(m: DataFrame, s: DataFrame) -> DataFrame:
     """(i, mark): 1 coarse, 0 fine, 2 isolated; parallel rounds: a row whose measure (rows that depend on it, then a hash)
     beats all undecided strong neighbours turns coarse, and its dependants turn fine."""
     edges = written(s.union(s.select("j", "i")).distinct(), "strong")
@@ -84,16 +109,15 @@ def pmis(m: DataFrame, s: DataFrame, most: int = 200) -> DataFrame:
         F.when(F.col("_h").isNull() & F.col("_n").isNull(), 2).when(F.col("_n").isNull(), 0).otherwise(-1).alias("mark"),
     )
     state = written(state, "marks")
-    for _ in range(most):
+    while True:  # every round settles the row of largest measure at least
         live = state.where("mark = -1")
         if not live.limit(1).count():
-            break
+            return state.select("i", "mark")
         rival = edges.join(live.select(F.col("i").alias("j"), F.col("p").alias("q")), "j").groupBy("i").agg(F.max("q").alias("q"))
         won = written(live.join(rival, "i", "left").where(F.col("q").isNull() | (F.col("p") > F.col("q"))).select("i", F.lit(1).alias("w")), "won")
         fine = s.join(won.select(F.col("i").alias("j")), "j", "left_semi").select("i").distinct().withColumn("f", F.lit(1))
         new = F.when(F.col("mark") != -1, F.col("mark")).when(F.col("w") == 1, 1).when(F.col("f") == 1, 0).otherwise(-1)
         state = written(state.join(won, "i", "left").join(fine, "i", "left").select("i", "p", new.alias("mark")), "marks")
-    return state.select("i", "mark")
 
 
 def direct_interpolation(m: DataFrame, s: DataFrame, marks: DataFrame) -> DataFrame:
@@ -115,6 +139,31 @@ def direct_interpolation(m: DataFrame, s: DataFrame, marks: DataFrame) -> DataFr
     return fine.unionByName(number.select("i", F.col("new").alias("j"), F.lit(1.0).alias("a")))
 
 
+def standard_interpolation(m: DataFrame, s: DataFrame, marks: DataFrame, extended: bool = False) -> DataFrame:
+    """P (i, j, a) over coarse numbers: see ``local.standard_interpolation``. Strong fine neighbours are eliminated by one
+    sparse product with their rows; ``extended`` leaves out what comes back to the row itself."""
+    number = written(matrix.prolong_renumber(marks), "numbers")
+    tag = s.withColumn("_s", F.lit(True))
+    of = marks.select(F.col("i").alias("j"), F.col("mark").alias("_m")).join(matrix.diagonal(m).select(F.col("i").alias("j"), F.col("x").alias("_d")), "j", "left")
+    rows = m.join(marks.where("mark = 0").select("i"), "i", "left_semi").join(tag, ["i", "j"], "left").join(of, "j")
+    gone = F.coalesce(F.col("_s"), F.lit(False)) & (F.col("i") != F.col("j")) & (F.col("_m") == 0) & (F.coalesce("_d", F.lit(0.0)) != 0)
+    rows = written(rows.select("i", "j", "a", "_s", "_m", "_d", gone.alias("_gone")), "rows")
+    out = rows.where("_gone").select("i", "j", (-F.col("a") / F.col("_d")).alias("_share"))
+    through = out.join(m.select(F.col("i").alias("j"), F.col("j").alias("k"), F.col("a").alias("_u")), "j").where("k != j")
+    through = (through.where("k != i") if extended else through).select("i", F.col("k").alias("j"), (F.col("_share") * F.col("_u")).alias("a"))
+    kept = rows.where("not _gone").select("i", "j", "a")
+    row = kept.unionByName(through).groupBy("i", "j").agg(F.sum("a").alias("a"))
+    strong_coarse = s.join(marks.where("mark = 1").select(F.col("i").alias("j")), "j", "left_semi").select("i", "j")
+    own = rows.where("_s and _m = 1").select("i", "j")
+    wide = own.union(out.select("i", "j").join(strong_coarse.select(F.col("i").alias("j"), F.col("j").alias("k")), "j").select("i", "k")).distinct().withColumn("_c", F.lit(True))
+    row = written(row.join(wide, ["i", "j"], "left"), "row")
+    off = F.col("i") != F.col("j")
+    per = row.groupBy("i").agg(F.sum(F.when(~off, F.col("a"))).alias("_h"), F.sum(F.when(off, F.col("a"))).alias("_t"), F.sum(F.when(off & F.col("_c"), F.col("a"))).alias("_p"))
+    w = row.where(off & F.col("_c")).join(per.where("_h != 0 and _p != 0"), "i").select("i", "j", (-F.col("_t") / F.col("_p") * F.col("a") / F.col("_h")).alias("a"))
+    w = w.join(number.select(F.col("i").alias("j"), "new"), "j").select("i", F.col("new").alias("j"), "a")
+    return w.unionByName(number.select("i", F.col("new").alias("j"), F.lit(1.0).alias("a")))
+
+
 def reduction_interpolation(m: DataFrame, marks: DataFrame) -> DataFrame:
     """P_ij = -a_ij / ((2 - 1/theta) a_ii), theta the least |a_ii| / sum of |a_ij| over fine columns."""
     number = written(matrix.prolong_renumber(marks), "numbers")
@@ -234,7 +283,9 @@ class LocalLevel:
     def smooth(self, b: np.ndarray, x: np.ndarray, post: bool) -> np.ndarray:
         q = self.param
         for _ in range(q.post if post else q.pre):
-            if q.smoother in ("jacobi", "poly"):
+            if q.smoother == "poly":
+                x = local.polynomial_sweep(self.m, b, x, q.degree)
+            elif q.smoother == "jacobi":
                 w = q.relaxation if q.relaxation != 1.0 else 2 / 3
                 x = x + w * (b - self.m @ x) / self.m.diagonal()
             elif q.smoother == "l1":
@@ -267,7 +318,18 @@ class Hierarchy:
         rows, nnz = [x.n for x in self.levels], [x.nnz for x in self.levels]
         return sum(rows) / rows[0], sum(nnz) / nnz[0]
 
-    def coarse_solve(self, b: np.ndarray) -> np.ndarray:
+    def coarse_solve(self, b):
+        """The coarsest level: dense up to 5000 rows in memory, else (also where coarsening stalled on a table) safe
+        conjugate gradients, and GMRES where those do not converge."""
+        level = self.levels[-1]
+        tables = isinstance(level, FrameLevel)
+        if tables or level.n > 5000:
+            space = FrameSpace(level.m.sparkSession.range(level.n).select(F.col("id").alias("i"))) if tables else LocalSpace(level.n)
+            problem = krylov.Problem(space, multiply(level.m) if tables else lambda v: level.m @ v, space.vector(b))
+            got = krylov.cg(problem, krylov.Control(tol=1e-10, maxit=1000), safe=True)
+            if got.status != krylov.Status.OK:
+                got = krylov.gmres(problem, krylov.Control(tol=1e-10, maxit=1000, restart=20), safe=True)
+            return written(space.frame(got.x), "coarse") if tables else got.x
         if self.top is None:
             self.top = self.levels[-1].m.dense()
         try:
@@ -294,21 +356,23 @@ class Hierarchy:
 
 def _local_step(level: LocalLevel, depth: int, q: AmgParams) -> LocalMatrix | None:
     m = level.m
+    refuse(q, m.n, False)
     if q.kind == "classical":
         s = local.strength(m, q.theta, q.max_row_sum, q.coarsening == "rsp")
-        mark = local.classical_split(s)
+        mark = local.independent_split(s) if q.coarsening == "mis" else local.classical_split(s)
+        if q.coarsening == "aggressive" and depth < q.aggressive_levels:
+            mark = local.aggressive_split(s, mark)
         if not (mark == 1).any():
             return None
+        level.order = np.concatenate([np.flatnonzero(mark == 1), np.flatnonzero(mark != 1)])
+        if q.interpolation == "energy":
+            return local.energy_interpolation(m, s, mark)
         if q.interpolation in ("standard", "extended"):
             p = local.standard_interpolation(m, s, mark, q.interpolation == "extended")
-        elif q.interpolation == "energy" and m.n <= 4000:
-            level.order = np.concatenate([np.flatnonzero(mark == 1), np.flatnonzero(mark != 1)])
-            return local.energy_interpolation(m, s, mark)
         else:
-            p = local.direct_interpolation(m, s, mark)
-        level.order = np.concatenate([np.flatnonzero(mark == 1), np.flatnonzero(mark != 1)])
+            p = local.reduction_interpolation(m, mark) if q.interpolation == "reduction" else local.direct_interpolation(m, s, mark)
         return local.truncate(p, q.truncation)
-    agg = local.repeated_pairwise(m, q.pair_passes, q.quality_bound) if q.aggregation == "pairwise" and q.kind == "ua" else local.vmb_aggregates(m, depth, q.coupled, q.max_aggregation)
+    agg = local.repeated_pairwise(m, q.pair_passes, q.quality_bound) if q.aggregation == "pairwise" else local.vmb_aggregates(m, depth, q.coupled, q.max_aggregation)
     if agg.max(initial=-1) < 0:
         return None
     p = local.map_matrix(agg)
@@ -317,16 +381,20 @@ def _local_step(level: LocalLevel, depth: int, q: AmgParams) -> LocalMatrix | No
 
 def _frame_step(level: FrameLevel, depth: int, q: AmgParams) -> DataFrame | None:
     m = level.m
+    refuse(q, level.n, True)
     if q.kind == "classical":
         s = written(strength(m, q.theta, q.max_row_sum, q.coarsening == "rsp"), "strength")
         level.marks = pmis(m, s)
-        if q.coarsening == "aggressive":
+        if q.coarsening == "aggressive" and depth < q.aggressive_levels:
             coarse = level.marks.where("mark = 1")
             far = pmis(coarse.select("i", F.col("i").alias("j"), F.lit(1.0).alias("a")), distance_two(s, coarse))
             level.marks = written(level.marks.join(far.select("i", F.col("mark").alias("_f")), "i", "left").select("i", F.when(F.col("_f") == 0, 0).otherwise(F.col("mark")).alias("mark")), "marks")
         if not level.marks.where("mark = 1").limit(1).count():
             return None
-        p = reduction_interpolation(m, level.marks) if q.interpolation == "reduction" else direct_interpolation(m, s, level.marks)
+        if q.interpolation in ("standard", "extended"):
+            p = standard_interpolation(m, s, level.marks, q.interpolation == "extended")
+        else:
+            p = reduction_interpolation(m, level.marks) if q.interpolation == "reduction" else direct_interpolation(m, s, level.marks)
         return written(truncate(p, q.truncation), "prolong")
     agg = root_aggregates(m, q.coupled, depth)
     if q.kind == "sa":
@@ -357,8 +425,6 @@ def setup(m: DataFrame, n: int, param: AmgParams = AmgParams()) -> Hierarchy:
             level.p = p
             level = LocalLevel(p.transpose().times(level.m).times(p), param=q)
         levels.append(level)
-    if isinstance(levels[-1], FrameLevel):
-        levels[-1] = LocalLevel(LocalMatrix.of(levels[-1].m, levels[-1].n), param=q)
     return Hierarchy(levels, q)
 
 
@@ -369,13 +435,16 @@ def cycle(h: Hierarchy, k: int, b, x, kind: str | None = None):
     """One multigrid cycle on level k."""
     level, kind = h.levels[k], kind or h.param.cycle
     if k == len(h.levels) - 1:
-        return h.coarse_solve(b) if level.n <= 5000 else krylov.cg(krylov.Problem(LocalSpace(level.n), lambda v: level.m @ v, b), krylov.Control(tol=1e-10, maxit=1000), safe=True).x
+        return h.coarse_solve(b)
     x = level.smooth(b, x, False)
     r = h.cross(k, level.restrict(level.residual(b, x)))
     low = h.levels[k + 1]
-    if kind == "kcycle" and k + 1 < len(h.levels) - 1 and isinstance(low, LocalLevel):
-        p = krylov.Problem(LocalSpace(low.n), lambda v: low.m @ v, r, lambda v: cycle(h, k + 1, v, low.zero(), kind))
+    tables = isinstance(low, FrameLevel)
+    if kind == "kcycle" and k + 1 < len(h.levels) - 1:
+        space = FrameSpace(low.m.sparkSession.range(low.n).select(F.col("id").alias("i"))) if tables else LocalSpace(low.n)
+        p = krylov.Problem(space, multiply(low.m) if tables else lambda v: low.m @ v, space.vector(r), lambda v: cycle(h, k + 1, v, low.zero(), kind))
         e = krylov.gcr(p, krylov.Control(tol=0.2, maxit=2, restart=2)).x
+        e = written(space.frame(e), "kcycle") if tables else e
     elif kind == "amli" and k + 1 < len(h.levels) - 1:
         e = _amli(h, k + 1, r)
     else:
@@ -384,9 +453,13 @@ def cycle(h: Hierarchy, k: int, b, x, kind: str | None = None):
         for _ in range(times):
             e = cycle(h, k + 1, r, e, kind)
     scale = 1.0
-    if h.param.coarse_scaling and isinstance(low, LocalLevel) and isinstance(e, np.ndarray):
-        energy = float(e @ (low.m @ e))
-        scale = min(1.0, float(e @ r) / energy) if energy > 0 else 1.0
+    if h.param.coarse_scaling:
+        if tables:
+            e = written(e, "correction")
+            energy, gain = (float(vector.dot(e, v).first()[0] or 0.0) for v in (products.spmv(low.m, e), r))
+        else:
+            energy, gain = float(e @ (low.m @ e)), float(e @ r)
+        scale = min(1.0, gain / energy) if energy > 0 else 1.0
     x = level.prolong(x, h.back(k, e), scale)
     return level.smooth(b, x, True)
 

@@ -67,12 +67,12 @@ _AMG = {
     "AMG_pair_number": ("pair_passes", int), "AMG_quality_bound": ("quality_bound", float), "AMG_presmooth_iter": ("pre", int),
     "AMG_postsmooth_iter": ("post", int), "AMG_relaxation": ("relaxation", float), "AMG_polynomial_degree": ("degree", int),
     "AMG_strong_threshold": ("theta", float), "AMG_truncation_threshold": ("truncation", float), "AMG_max_row_sum": ("max_row_sum", float),
-    "AMG_amli_degree": ("amli_degree", int),
+    "AMG_amli_degree": ("amli_degree", int), "AMG_aggressive_level": ("aggressive_levels", int),
 }
 _OTHER = {
     "workdir", "problem_num", "print_level", "output_type", "solver_type", "stop_type", "decoup_type", "precond_type", "AMG_ILU_levels", "AMG_SWZ_levels",
     "AMG_type", "AMG_smooth_filter", "AMG_smooth_restriction", "AMG_coarse_solver", "AMG_coarse_scaling", "AMG_cycle_type", "AMG_smoother",
-    "AMG_smooth_order", "AMG_coarsening_type", "AMG_interpolation_type", "AMG_aggregation_type", "AMG_aggregation_norm_type", "AMG_aggressive_level",
+    "AMG_smooth_order", "AMG_coarsening_type", "AMG_interpolation_type", "AMG_aggregation_type", "AMG_aggregation_norm_type",
     "AMG_aggressive_path", "AMG_nl_amli_krylov_type", "ILU_type", "ILU_lfil", "ILU_droptol", "ILU_relax", "ILU_permtol", "SWZ_mmsize", "SWZ_maxlvl",
     "SWZ_type", "SWZ_blksolver",
 }

@@ -178,7 +178,9 @@ def solve_grid_of_blocks(blocks: DataFrame, sizes: list[int], b: DataFrame, para
     spark, n = blocks.sparkSession, sum(sizes)
     table = spark.createDataFrame(list(enumerate(sizes)), "b int, n long")
     m = formats.from_grid_of_blocks(blocks, table)
-    if n <= LOCAL_ROWS and kind != "none":
+    if kind != "none":
+        if n > LOCAL_ROWS:
+            raise ValueError(f"preconditioning by whole blocks works in memory, up to {LOCAL_ROWS} rows: use kind none above")
         more["preconditioner"] = block_preconditioner(LocalMatrix.of(m, n), sizes, kind)
     return solve(m, b, n, params, "blc", **more)
 

@@ -40,7 +40,7 @@ class Vec:
 class FrameSpace:
     """Vectors over the positions of ``table`` (i); operators map (i, x) to (i, x)."""
 
-    MOST = 24  # columns before live combinations are folded into one column each
+    MOST = 2  # terms of a live combination that survive a rewrite: expressions stay short whatever the number of steps
 
     def __init__(self, positions: DataFrame):
         self.table, self.owned, self.count = positions.select("i"), None, 0
@@ -60,13 +60,11 @@ class FrameSpace:
         return f"c{self.count}"
 
     def _needed(self) -> DataFrame:
-        """The table with the columns that live vectors need, folded when there are many."""
-        used = sorted({c for v in self.live for c in v.terms}, key=lambda c: int(c[1:]))
-        if len(used) <= self.MOST:
-            return self.table.select("i", *used)
-        fresh = [(v, self._name()) for v in list(self.live) if v.terms]
-        table = self.table.select("i", *[v.expr().alias(n) for v, n in fresh])
-        for v, n in fresh:
+        """The table with the columns that live vectors need; combinations of more than ``MOST`` become a column of their own."""
+        long = [(v, self._name()) for v in list(self.live) if len(v.terms) > self.MOST]
+        short = {c for v in self.live if len(v.terms) <= self.MOST for c in v.terms}
+        table = self.table.select("i", *sorted(short, key=lambda c: int(c[1:])), *[v.expr().alias(n) for v, n in long])
+        for v, n in long:
             v.terms = {n: 1.0}
         return table
 
