@@ -4,16 +4,17 @@ elsewhere is removed; matches never cross documents.
 A suffix array of the whole corpus does not fit a task, so the work is cut without losing a match. Each ``depth``-byte
 window is named by the least hash among its ``GRAM``-byte substrings; equal windows have equal names, wherever they
 stand. Maximal runs of windows of one name are segments. Names that occur once hold no match. The segments of a name that
-occurs more often go to one shard; equal segments are sent once, with their count. In a shard, the segments are laid end
-to end and sorted by induced sorting with common-prefix values (``induced``): neighbours that agree on ``depth`` symbols
-are matches. A shard is sorted in memory. Shards aim at ``SHARD_BYTES``, far below the sizes from which queues spill and
-names are sorted by recursion, so names are sorted by prefix doubling. The size of a shard is aimed at, not bounded: a
-name's segments stay together up to ``hot`` of them, whatever their bytes.
-
-Documents with equal texts are settled by their text alone: such a text of ``depth`` bytes or more goes as a whole, and
-one copy stands for all in the search. Names that hold more than ``hot`` unlike segments (the surroundings of a passage
-that very many documents share) would make one large group: their windows are spread by a 128-bit hash of the window
-itself and counted with partial sums; that is exact for the same windows and needs no group.
+occurs more often go to one shard; equal segments are sent once, with their count. A shard is a string of its segments that
+is sorted by external induced sorting with common-prefix values (``induced``): neighbours that agree on ``depth`` symbols
+are matches. Shards of ``SHARD_BYTES`` are many times what is held in memory (``MEMORY`` tuples and places): the string and
+all arrays of a level are files of the task, the queues spill, and names are sorted by recursion down to ``NAMES`` of them.
+A shard may be larger than aimed at (a name's segments stay together); that costs time and scratch disk, not memory.
+
+Documents with equal texts (by SHA-256) are settled by their text alone: such a text of ``depth`` bytes or more goes as a
+whole, and one copy stands for all in the search. Equal segments are told by name (64 bits), length and two polynomial
+hashes modulo 2^31 - 1, not by comparing bytes. Names that hold more than ``hot`` unlike segments (the surroundings of a
+passage that very many documents share) would make one task of a large part of the rows: their windows are spread by a
+128-bit hash of the window itself and counted with partial sums; that finds the same windows and needs no group.
 
 Defined results: null and empty texts have no bytes and keep the SHA-256 of nothing; texts shorter than ``depth`` are
 kept; repeated rows are copies of each other; rows of one id with unlike texts are told apart; extra columns are ignored.
@@ -29,14 +30,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import by_bytes, byte_view, drop, written
-from .induced import repeated_starts
+from .induced import Space, repeated_starts
 
 GRAM = 50
 BROADCAST_ROWS = 200_000
-SHARD_BYTES = 2 << 20
+SHARD_BYTES = 4 << 20
+MEMORY, NAMES = 1 << 17, 1 << 18
 #: Bytes that a task searches at a time.
 PIECE = 1 << 19
 _P1, _P2 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
+_PRIME, _BASES = (1 << 31) - 1, (1_093_720_531, 1_870_365_269)
 _powers: dict[tuple[int, int], np.ndarray] = {}
 
 
@@ -71,6 +74,32 @@ def _hashes(prefix: np.ndarray, base: int, start: np.ndarray, end: np.ndarray) -
         return _mix((prefix[end] - prefix[start]) * inverse[start])
 
 
+def _segment_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """62 bits of each byte range: two polynomials modulo 2^31 - 1, shifted back to exponent 0. Powers of two as moduli, as
+    of the window hashes, would make texts of a known pattern collide."""
+    out = np.zeros(len(start), np.int64)
+    x = raw.astype(np.uint64) + np.uint64(1)
+    for base in _BASES:
+        sums = np.zeros(len(raw) + 1, np.uint64)
+        np.cumsum(x * _prime_powers(base, len(raw))[: len(raw)] % np.uint64(_PRIME), out=sums[1:])
+        part = (sums[end] - sums[start]) % np.uint64(_PRIME)
+        back = _prime_powers(pow(base, -1, _PRIME), len(raw))[start]
+        out = out << 31 | (part * back % np.uint64(_PRIME)).astype(np.int64)
+    return out
+
+
+def _prime_powers(base: int, n: int) -> np.ndarray:
+    """base^0 .. base^n modulo 2^31 - 1, by doubling."""
+    have = _powers.get((base, _PRIME))
+    if have is None or len(have) <= n:
+        have, step = np.ones(1, np.uint64), base
+        while len(have) <= max(n, 1 << 20):
+            have = np.concatenate([have, have * np.uint64(step) % np.uint64(_PRIME)])
+            step = step * step % _PRIME
+        _powers[base, _PRIME] = have
+    return have
+
+
 def _sliding(x: np.ndarray, w: int, best) -> np.ndarray:
     """best(x[i : i + w]) for every i, by block-wise running minima or maxima from both sides."""
     n = len(x)
@@ -123,7 +152,7 @@ def segments(raw: np.ndarray, off: np.ndarray, depth: int, gram: int):
         hit = (name[s] == grams[m]) & (first[s] <= m) & (m + gram <= end[s])
         places += np.bincount(s[hit], minlength=len(first))
     doc = np.searchsorted(off, first, "right") - 1
-    return doc, first - off[doc], end - first, name.view(np.int64), _hashes(prefix, _P1, first, end).view(np.int64), places
+    return doc, first - off[doc], end - first, name.view(np.int64), _segment_hashes(raw, first, end), places
 
 
 def _text_key(text: str) -> list[Column]:
@@ -148,44 +177,46 @@ def occurrences(docs: DataFrame, depth: int, gram: int) -> DataFrame:
 
 
 def shard_repeats(rows: DataFrame, shards: int, depth: int) -> DataFrame:
-    """name, seg, len, spans: the byte ranges of each segment that its shard's suffix order finds twice or more.
+    """name, seg, len, spans (the byte ranges of each segment that its shard's suffix order finds twice or more), spilled,
+    levels (items that the shard's sort had on disk, and its levels of recursion).
 
     rows: name, seg, len, body. A shard is the segments of a range of hashed names.
     """
+    memory, names = MEMORY, NAMES
 
     def run(batches):
-        parts, keys = [], []
-        for batch in batches:
-            raw, off = byte_view(batch.column(3))
-            data = raw.tobytes()
-            cut = off.tolist()
-            parts += [data[a:b] for a, b in zip(cut[:-1], cut[1:])]
-            keys += zip(*(batch.column(i).to_pylist() for i in range(3)))
-        if not parts:
-            return
-        size = np.array([len(p) for p in parts])
-        text = np.full(int(size.sum()) + len(parts) + 1, 1, np.uint16)  # 1 parts segments; 0 ends the text
-        text[-1] = 0
-        ends = np.cumsum(size + 1) - 1
-        inside = np.ones(len(text) - 1, bool)
-        inside[ends] = False
-        text[:-1][inside] = np.frombuffer(b"".join(parts), np.uint8).astype(np.uint16) + 2
-        del parts
-        found = repeated_starts(text, depth)
-        starts = ends - size
-        out: tuple[list, list, list, list] = ([], [], [], [])
-        for (name, seg, length), a, n in zip(keys, starts.tolist(), size.tolist()):
-            at = np.flatnonzero(found[a : a + n - depth + 1])
-            if len(at):
-                edge = np.flatnonzero(np.diff(at) > 1)
-                spans = [{"s": int(x), "e": int(y) + depth} for x, y in zip(at[np.concatenate([[0], edge + 1])], at[np.append(edge, len(at) - 1)])]
-                for column, v in zip(out, (name, seg, length, spans)):
-                    column.append(v)
-        kinds = [pa.int64()] * 3 + [pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))]
-        yield pa.record_batch([pa.array(x, k) for x, k in zip(out, kinds)], names=["name", "seg", "len", "spans"])
+        with Space(memory) as space:
+            place, keys, sizes = space.path(), [], []
+            with open(place, "wb") as text:
+                for batch in batches:
+                    raw, off = byte_view(batch.column(3))
+                    size = np.diff(off)
+                    part = np.ones(len(raw) + len(size), np.uint16)  # 1 parts segments; 0 ends the text
+                    part[np.arange(len(raw)) + np.repeat(np.arange(len(size)), size)] = raw.astype(np.uint16) + 2
+                    part.tofile(text)
+                    keys.append([batch.column(i).to_numpy() for i in range(3)])
+                    sizes.append(size)
+                np.zeros(1, np.uint16).tofile(text)
+            if not keys:
+                return
+            found = repeated_starts(np.asarray(np.memmap(place, np.uint16, "r")), depth, space, names)
+            at = 0
+            for key, size in zip(keys, sizes):
+                out: tuple[list, ...] = ([], [], [], [])
+                for name, seg, length, n in zip(*(c.tolist() for c in key), size.tolist()):
+                    hit = np.flatnonzero(found[at : at + n - depth + 1])
+                    at += n + 1
+                    if len(hit):
+                        edge = np.flatnonzero(np.diff(hit) > 1)
+                        spans = [{"s": int(x), "e": int(y) + depth} for x, y in zip(hit[np.concatenate([[0], edge + 1])], hit[np.append(edge, len(hit) - 1)])]
+                        for column, v in zip(out, (name, seg, length, spans)):
+                            column.append(v)
+                kinds = [pa.int64()] * 3 + [pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))]
+                more = [pa.array(np.full(len(out[0]), v)) for v in (space.spilled, space.levels)]
+                yield pa.record_batch([*[pa.array(x, k) for x, k in zip(out, kinds)], *more], names=["name", "seg", "len", "spans", "spilled", "levels"])
 
     placed = rows.repartition(shards, F.xxhash64("name")).sortWithinPartitions("name", "seg")
-    return placed.select("name", "seg", "len", "body").mapInArrow(run, "name long, seg long, len long, spans array<struct<s:long,e:long>>")
+    return placed.select("name", "seg", "len", "body").mapInArrow(run, "name long, seg long, len long, spans array<struct<s:long,e:long>>, spilled long, levels long")
 
 
 def window_repeats(rows: DataFrame, depth: int) -> DataFrame:
@@ -206,7 +237,7 @@ def window_repeats(rows: DataFrame, depth: int) -> DataFrame:
     twice = each.groupBy("h1", "h2").count().where("count > 1").select("h1", "h2")
     hit = each.join(twice, ["h1", "h2"])
     spans = F.sort_array(F.collect_list(F.struct(F.col("at").alias("s"), (F.col("at") + depth).alias("e"))))
-    return hit.groupBy("name", "seg", "len").agg(spans.alias("spans"))
+    return hit.groupBy("name", "seg", "len").agg(spans.alias("spans")).withColumns({"spilled": F.lit(0).cast("long"), "levels": F.lit(0).cast("long")})
 
 
 def _small(df: DataFrame, lists: str | None = None) -> DataFrame:
@@ -218,12 +249,14 @@ def _small(df: DataFrame, lists: str | None = None) -> DataFrame:
     return F.broadcast(df) if few else df
 
 
-def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", depth: int = 200, gram: int = GRAM, hot: int = 5000, with_text: bool = False) -> DataFrame:
-    """key, n_bytes, n_removed, n_spans, kept_sha256 (and kept, the remaining bytes): a row per row of ``docs``."""
+def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", depth: int = 200, gram: int = GRAM, hot: int = 5000, with_text: bool = False, report: dict[str, int] | None = None) -> DataFrame:
+    """key, n_bytes, n_removed, n_spans, kept_sha256 (and kept, the remaining bytes): a row per row of ``docs``.
+
+    ``report`` gets the most items that a shard's sort had on disk, and its most levels of recursion."""
     spark = docs.sparkSession
     base = docs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("body"), *_text_key(text))
     base = base.withColumn("n", F.octet_length("body").cast("long"))
-    copies = base.groupBy("th", "tc", "n").agg(F.count(F.lit(1)).alias("c"), F.min(key).alias("rep")).where(f"c > 1 and n >= {depth}").select(F.col("th").alias("ch"), F.col("tc").alias("cc"), "rep")
+    copies = base.where(f"n >= {depth}").groupBy("th", "tc", "n", F.sha2(F.col("body").cast("binary"), 256)).agg(F.count(F.lit(1)).alias("c"), F.min(key).alias("rep")).where("c > 1").select(F.col("th").alias("ch"), F.col("tc").alias("cc"), "rep")
     copies = _small(written(spark, copies, "copies"))
     marked = base.join(copies, (F.col("th") == F.col("ch")) & (F.col("tc") == F.col("cc")), "left").withColumn("many", F.col("ch").isNotNull())
     searched = marked.where((F.col("n") >= depth) & (~F.col("many") | F.col(key).eqNullSafe(F.col("rep")))).select("th", "tc", "many", "body")
@@ -265,6 +298,10 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", de
     if sent.where("hot").limit(1).count():
         spans = spans.union(window_repeats(bodies.where("hot").dropDuplicates(["name", "seg", "len"]), depth))
     spans = written(spark, spans, "spans")
+    if report is not None:
+        most = spans.agg(F.max("spilled"), F.max("levels")).first()
+        report |= {"spilled": most[0] or 0, "levels": most[1] or 0}
+    spans = spans.drop("spilled", "levels")
     whole = F.array(F.struct(F.lit(0).cast("long").alias("s"), F.col("len").alias("e")))
     settled = distinct.where("c > 1").select("name", "seg", "len", whole.alias("spans"))
     mine = held.where("not many")
