@@ -1,12 +1,14 @@
-"""Readers and writers of single-file sparse formats.
+"""Readers and writers of sparse formats.
 
-Line formats (triples, MatrixMarket, indexed vectors) are scanned by Spark's text reader in parallel. Formats whose
-meaning depends on the place in the file (compressed rows, block rows, bands, positional vectors, binary) are parsed by one
-task per file, read through Spark's ``binaryFile`` source, so any file system that Spark reads will do. Comments are lines
-that start with %. Positions come out counted from 0; duplicates are kept unless ``summed``.
+Line formats (triples, MatrixMarket, indexed vectors) are scanned by Spark's text reader in parallel. Text formats whose
+meaning depends on the place in the file (compressed rows, block rows, bands, positional vectors) are scanned in parallel
+too: ``tokens`` numbers all numbers of a file by prefix sums over its blocks, and the parts of a format are ranges of those
+places, joined on them. Binary files and fixed-width cards are parsed by one task per file, read through Spark's
+``binaryFile`` source, so any file system that Spark reads will do. Comments are lines that start with %. Positions come
+out counted from 0; duplicates are kept unless ``summed``.
 
-Writers order entries globally and write one text file, since the formats are single-file; sizes are those of systems
-that such files hold. Parquet is the sink for anything larger.
+Writers order entries globally and write text files of ``LINES`` lines, which follow each other by name; the readers take
+such a folder as one file.
 """
 
 from __future__ import annotations
@@ -18,29 +20,39 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from ..tables import written
 
 ENTRIES, VECTOR = "i long, j long, a double", "i long, x double"
+LINES = 4_000_000  #: Of a written file.
 
 
 # Line formats
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.text(path).where(~F.trim("value").startswith("%") & (F.trim("value") != "")).withColumn("_at", F.monotonically_increasing_id())
+    """Lines that are no comments, with their places; of several files the first is the least by name."""
+    place = F.struct(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("k"))
+    return spark.read.text(path).select("value", place.alias("_at")).where(~F.ltrim("value").startswith("%") & (F.trim("value") != ""))
+
+
+def _behind_head(lines: DataFrame, path: str) -> DataFrame:
+    """All lines but the first, which holds the sizes."""
+    first = lines.agg(F.min("_at").alias("m")).first()["m"]
+    if first is None:
+        raise ValueError(f"{path} is empty")
+    return lines.where(~((F.col("_at.f") == first["f"]) & (F.col("_at.b") == first["b"]) & (F.col("_at.k") == first["k"])))
 
 
 def _fields(lines: DataFrame, *kinds: str) -> DataFrame:
     parts = F.split(F.trim("value"), r"\s+")
-    return lines.select("_at", *[F.get(parts, n).cast(k).alias(f"f{n}") for n, k in enumerate(kinds)])
+    return lines.select(*[F.get(parts, n).cast(k).alias(f"f{n}") for n, k in enumerate(kinds)])
 
 
 def read_triples(spark: SparkSession, path: str, base: int | None = 0, symmetric: bool = False, summed: bool = False) -> DataFrame:
     """``m n nnz`` and lines ``i j a``; base None takes 1 if no position is 0. ``symmetric`` mirrors the stored triangle."""
-    lines = _lines(spark, path)
-    first = lines.first()
-    if first is None:
-        raise ValueError(f"{path} holds no matrix")
-    m = _fields(lines.where(F.col("_at") != first["_at"]), "long", "long", "double").select(F.col("f0").alias("i"), F.col("f1").alias("j"), F.col("f2").alias("a"))
+    m = _fields(_behind_head(_lines(spark, path), path), "long", "long", "double").select(F.col("f0").alias("i"), F.col("f1").alias("j"), F.col("f2").alias("a"))
     if base is None:
         base = int(m.agg(F.min(F.least("i", "j"))).first()[0] == 1)
     m = m.select((F.col("i") - base).alias("i"), (F.col("j") - base).alias("j"), "a")
@@ -55,34 +67,122 @@ def read_matrix_market(spark: SparkSession, path: str, symmetric: bool = False,
 
 def read_indexed_vector(spark: SparkSession, path: str) -> DataFrame:
     """``n`` and lines ``i x`` counted from 0."""
-    lines = _lines(spark, path)
-    first = lines.first()
-    return _fields(lines.where(F.col("_at") != first["_at"]), "long", "double").select(F.col("f0").alias("i"), F.col("f1").alias("x"))
+    return _fields(_behind_head(_lines(spark, path), path), "long", "double").select(F.col("f0").alias("i"), F.col("f1").alias("x"))
 
 
-# Whole-file formats
+# Text formats by place
 
 
-class Tokens:
-    """Numbers of a text file in order."""
+def tokens(spark: SparkSession, path: str) -> DataFrame:
+    """(at, v): the numbers of a text file (or of the files of a folder, in order of name), counted from 0."""
+    where = [F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b")]
+    lines = spark.read.text(path).select("value", *where, F.monotonically_increasing_id().alias("k"))  # ids grow within a block
+    lines = lines.where(~F.ltrim("value").startswith("%") & (F.trim("value") != ""))
+    lines = lines.select("f", "b", "k", F.split(F.trim(F.translate("value", "Dd", "EE")), r"\s+").alias("t"))
+    before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = lines.groupBy("f", "b").agg(F.sum(F.size("t")).alias("n"))  # a row per block of a file
+    starts = blocks.select("f", "b", before(Window.orderBy("f", "b")).alias("o"))
+    placed = lines.withColumn("n", F.size("t")).select("f", "b", "t", before(Window.partitionBy("f", "b").orderBy("k")).alias("s"))
+    each = placed.join(starts, ["f", "b"]).select((F.col("s") + F.col("o")).alias("s"), F.posexplode("t").alias("k", "v"))
+    return written(each.select((F.col("s") + F.col("k")).alias("at"), "v"), "tokens")
 
-    def __init__(self, data: bytes):
-        rows = [x for x in data.decode().splitlines() if not x.lstrip().startswith("%")]
-        self.all, self.at = " ".join(rows).replace("D", "E").split(), 0
 
-    def take(self, n: int, kind=int) -> np.ndarray:
-        part = self.all[self.at : self.at + n]
-        if len(part) < n:
-            raise ValueError("file ends too early")
-        self.at += n
-        return np.array(part, np.float64 if kind is float else np.int64)
+def _ints(t: DataFrame, *places: int) -> list[int]:
+    """Numbers at a few places."""
+    if not places:
+        return []
+    found = {r["at"]: int(float(r["v"])) for r in t.where(F.col("at").isin(list(places))).collect()}
+    if len(found) < len(set(places)):
+        raise ValueError("file ends too early")
+    return [found[p] for p in places]
 
-    def one(self) -> int:
-        return int(self.take(1)[0])
+
+def _part(t: DataFrame, start: int, n: int, kind: str, name: str) -> DataFrame:
+    """(p, name): n numbers from a place on."""
+    _ints(t, *([start + n - 1] if n else []))  # the last of them has to be there
+    return t.where(F.col("at").between(start, start + n - 1)).select((F.col("at") - start).alias("p"), F.col("v").cast("double").cast(kind).alias(name))
+
+
+def _row_places(starts: DataFrame, rows: int, first: int) -> DataFrame:
+    """(p, i): the row of every stored place, from row starts (p, s)."""
+    ends = starts.select((F.col("p") - 1).alias("p"), F.col("s").alias("e"))
+    return starts.where(F.col("p") < rows).join(ends, "p").where("e > s").select(F.col("p").alias("i"), F.explode(F.sequence(F.col("s") - first, F.col("e") - first - 1)).alias("p"))
+
+
+def _csr(t: DataFrame, skip: int = 0, header: int = 1, base: int | None = None) -> tuple[DataFrame, int]:
+    """(entries, place behind them): row count (and column count), row starts, columns, values; the base is that of the first row start."""
+    rows = _ints(t, skip)[0]
+    at = skip + header
+    first, last = _ints(t, at, at + rows)
+    n, after = last - first, at + rows + 1
+    i = _row_places(_part(t, at, rows + 1, "long", "s"), rows, first)
+    j, a = _part(t, after, n, "long", "j"), _part(t, after + n, n, "double", "a")
+    return i.join(j, "p").join(a, "p").select("i", (F.col("j") - (first if base is None else base)).alias("j"), "a"), after + 2 * n
+
+
+def _bsr(t: DataFrame, skip: int = 0) -> tuple[DataFrame, int]:
+    """Block rows as scalar entries (zeros inside blocks are kept): sizes, block size, storage order, then three counted arrays."""
+    rows, _, _, nb, order, starts = _ints(t, *range(skip, skip + 6))
+    at = skip + 6
+    first, n = _ints(t, at, at + starts)
+    cells = nb * nb
+    i = _row_places(_part(t, at, starts, "long", "s"), rows, first)
+    j = _part(t, at + starts + 1, n, "long", "j")
+    v = _part(t, at + starts + n + 2, n * cells, "double", "a").select(F.floor(F.col("p") / cells).alias("p"), (F.col("p") % cells).alias("k"), "a")
+    r, c = F.floor(F.col("k") / nb), F.col("k") % nb
+    r, c = (c, r) if order else (r, c)  # order 1: blocks column by column
+    return i.join(j, "p").join(v, "p").select((F.col("i") * nb + r).alias("i"), (F.col("j") * nb + c).alias("j"), "a"), at + starts + n + 2 + n * cells
+
+
+def _bands(t: DataFrame, skip: int = 0) -> tuple[DataFrame, int]:
+    """Bands of a structured grid as scalar entries: grid, block size, bands, the diagonal, then offset and values of each band."""
+    nx, ny, nz, nc, bands = _ints(t, *range(skip, skip + 5))
+    at, out, n, cells = skip + 5, None, nx * ny * nz, nc * nc
+    for k in range(bands + 1):  # as many as there are bands: a handful
+        off, size = (0, _ints(t, at)[0]) if k == 0 else _ints(t, at, at + 1)
+        at += 1 if k == 0 else 2
+        if size != (n - abs(off)) * cells:
+            raise ValueError("band length is wrong")
+        row = F.floor(F.col("p") / cells) + max(0, -off)
+        cell = F.col("p") % cells
+        band = _part(t, at, size, "double", "a").select((row * nc + F.floor(cell / nc)).alias("i"), ((row + off) * nc + cell % nc).alias("j"), "a")
+        out, at = band if out is None else out.union(band), at + size
+    return out, at
+
+
+def _coo(t: DataFrame, skip: int = 0, shift: int = 0, symmetric: bool = False) -> tuple[DataFrame, int]:
+    n = _ints(t, skip + 2)[0]
+    place = F.col("p") % 3
+    value = lambda k: F.max(F.when(place == k, F.col("x")))
+    rows = _part(t, skip + 3, 3 * n, "double", "x").groupBy(F.floor(F.col("p") / 3).alias("q")).agg(value(0).alias("i"), value(1).alias("j"), value(2).alias("a"))
+    rows = rows.select((F.col("i") - shift).cast("long").alias("i"), (F.col("j") - shift).cast("long").alias("j"), "a")
+    if symmetric:
+        rows = rows.unionByName(rows.where("i != j").select(F.col("j").alias("i"), F.col("i").alias("j"), "a"))
+    return rows, skip + 3 + 3 * n
+
+
+def _vector(t: DataFrame, skip: int = 0) -> tuple[DataFrame, int]:
+    n = _ints(t, skip)[0]
+    return _part(t, skip + 1, n, "double", "x").withColumnRenamed("p", "i"), skip + 1 + n
+
+
+def _indexed(t: DataFrame, skip: int = 0) -> tuple[DataFrame, int]:
+    n = _ints(t, skip)[0]
+    value = lambda k: F.max(F.when(F.col("p") % 2 == k, F.col("x")))
+    rows = _part(t, skip + 1, 2 * n, "double", "x").groupBy(F.floor(F.col("p") / 2).alias("q")).agg(value(0).cast("long").alias("i"), value(1).alias("x"))
+    return rows.select("i", "x"), skip + 1 + 2 * n
+
+
+#: Text formats by the flag of files that name their own.
+TEXT_MATRICES: dict[int, Callable] = {0: _csr, 1: _coo, 2: _bsr, 3: _bands, 4: _coo, 5: lambda t, s: _coo(t, s, 1), 6: lambda t, s: _coo(t, s, 1, True)}
+TEXT_VECTORS: dict[int, Callable] = {1: _vector, 2: _vector, 3: _indexed, 4: _indexed}
+
+
+# Whole-file formats
 
 
 class Binary:
-    """The same interface on a binary file; the order of bytes is found by the caller."""
+    """Numbers of a binary file in order; the order of bytes is found by the caller."""
 
     def __init__(self, data: bytes, order: str, ints: int = 4, reals: int = 8, at: int = 0):
         self.data, self.at = data, at
@@ -116,9 +216,6 @@ def parse_csr(t, header: int = 1, base: int | None = None) -> tuple[np.ndarray,
 
 def parse_coo(t, shift: int = 0):
     _, _, n = t.take(3).tolist()
-    if isinstance(t, Tokens):
-        flat = t.take(3 * n, float).reshape(n, 3)
-        return flat[:, 0].astype(np.int64) - shift, flat[:, 1].astype(np.int64) - shift, flat[:, 2]
     rows = [(t.one(), t.one(), float(t.take(1, float)[0])) for _ in range(n)]
     i, j, a = (np.array(x) for x in zip(*rows)) if rows else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
     return i - shift, j - shift, a
@@ -164,9 +261,6 @@ def parse_vector(t, kind=float):
 
 def parse_indexed(t, kind=float):
     n = t.one()
-    if isinstance(t, Tokens):
-        flat = t.take(2 * n, float).reshape(n, 2)
-        return flat[:, 0].astype(np.int64), flat[:, 1]
     rows = [(t.one(), float(t.take(1, kind)[0])) for _ in range(n)]
     return np.array([r[0] for r in rows]), np.array([r[1] for r in rows], float)
 
@@ -177,24 +271,16 @@ MATRICES: dict[int, Callable] = {
 VECTORS: dict[int, Callable] = {1: parse_vector, 2: lambda t: parse_vector(t, int), 3: parse_indexed, 4: lambda t: parse_indexed(t, int)}
 
 
-def _self_describing(data: bytes, kinds: dict[int, Callable], text: dict[int, int]):
-    """Header of a file that names its own format: 0000 and a three-digit flag in text, or two integers in binary."""
-    if data[:4] == b"0000":
-        t = Tokens(data)
-        t.at = 1
-        flag = t.one() // 100
-        return kinds[text.get(flag, flag)](t)
+def _self_describing(data: bytes, kinds: dict[int, Callable]):
+    """A binary file that names its own format in two integers."""
     order = "<" if struct.unpack("<i", data[:4])[0] == 1 else ">"
     flag = struct.unpack(f"{order}i", data[4:8])[0]
     return kinds[flag // 100](Binary(data, order, flag // 10 % 10, flag % 10, 8))
 
 
-def parse_matrix(data: bytes):
-    return _self_describing(data, MATRICES, {0: 1, 1: 4})
-
-
-def parse_any_vector(data: bytes):
-    return _self_describing(data, VECTORS, {})
+def _is_text(spark: SparkSession, path: str) -> bool:
+    """Whether a file that names its own format does so in text: by the line 0000."""
+    return spark.read.text(path).where(F.trim("value") == "0000").limit(1).count() > 0
 
 
 def parse_harwell_boeing(data: bytes):
@@ -236,43 +322,46 @@ def _scan(spark: SparkSession, path: str, parse: Callable[[bytes], tuple[np.ndar
 
 
 def read_csr(spark: SparkSession, path: str) -> DataFrame:
-    return _scan(spark, path, lambda d: parse_csr(Tokens(d)), ENTRIES)
+    return _csr(tokens(spark, path))[0]
 
 
 def read_csr_with_rhs(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """One file: rows and columns, a matrix of compressed rows, then a vector."""
-
-    def vector(d: bytes):
-        t = Tokens(d)
-        parse_csr(t, 2)
-        return parse_vector(t)
-
-    return _scan(spark, path, lambda d: parse_csr(Tokens(d), 2), ENTRIES), _scan(spark, path, vector, VECTOR)
+    t = tokens(spark, path)
+    m, after = _csr(t, 0, 2)
+    return m, _vector(t, after)[0]
 
 
 def read_csr_pair(spark: SparkSession, matrix: str, vector: str) -> tuple[DataFrame, DataFrame]:
     """Two files, the matrix counted from 1."""
-    return _scan(spark, matrix, lambda d: parse_csr(Tokens(d), 1, 1), ENTRIES), read_vector(spark, vector)
+    return _csr(tokens(spark, matrix), 0, 1, 1)[0], read_vector(spark, vector)
 
 
 def read_bsr(spark: SparkSession, path: str) -> DataFrame:
-    return _scan(spark, path, lambda d: parse_bsr(Tokens(d)), ENTRIES)
+    return _bsr(tokens(spark, path))[0]
 
 
 def read_str(spark: SparkSession, path: str) -> DataFrame:
-    return _scan(spark, path, lambda d: parse_str(Tokens(d)), ENTRIES)
+    return _bands(tokens(spark, path))[0]
 
 
 def read_vector(spark: SparkSession, path: str) -> DataFrame:
-    return _scan(spark, path, lambda d: parse_vector(Tokens(d)), VECTOR)
+    return _vector(tokens(spark, path))[0]
 
 
 def read_matrix(spark: SparkSession, path: str) -> DataFrame:
-    return _scan(spark, path, parse_matrix, ENTRIES)
+    """A file that names its own format, in text or binary."""
+    if not _is_text(spark, path):
+        return _scan(spark, path, lambda d: _self_describing(d, MATRICES), ENTRIES)
+    t = tokens(spark, path)
+    return TEXT_MATRICES[_ints(t, 1)[0] // 100](t, 2)[0]
 
 
 def read_any_vector(spark: SparkSession, path: str) -> DataFrame:
-    return _scan(spark, path, parse_any_vector, VECTOR)
+    if not _is_text(spark, path):
+        return _scan(spark, path, lambda d: _self_describing(d, VECTORS), VECTOR)
+    t = tokens(spark, path)
+    return TEXT_VECTORS[_ints(t, 1)[0] // 100](t, 2)[0]
 
 
 def read_harwell_boeing(spark: SparkSession, path: str) -> DataFrame:
@@ -299,8 +388,9 @@ def read_coo_binary(spark: SparkSession, rows: str, cols: str, vals: str, rhs: s
 
 
 def write_lines(lines: DataFrame, path: str) -> None:
-    """(_p, value) rows in order of _p into one text file (in a folder, as Spark writes)."""
-    lines.repartitionByRange(1, "_p").sortWithinPartitions("_p").select("value").write.mode("overwrite").text(path)
+    """(_p, value) rows in order of _p into text files of about ``LINES`` lines, which follow each other by name."""
+    lines = written(lines, "lines")
+    lines.repartitionByRange(max(1, -(-lines.count() // LINES)), "_p").sortWithinPartitions("_p").select("value").write.mode("overwrite").text(path)
 
 
 def _head(spark: SparkSession, *rows: str) -> DataFrame:
@@ -336,8 +426,6 @@ def write_indexed_vector(v: DataFrame, path: str) -> None:
 def _packed(m: DataFrame, rows: int, base: int) -> list[DataFrame]:
     """Row starts, columns and values of compressed rows as lines."""
     spark = m.sparkSession
-    from pyspark.sql.window import Window
-
     counts = spark.range(rows + 1).select(F.col("id").alias("i")).join(m.groupBy(F.col("i") + 1).count().toDF("i", "c"), "i", "left").fillna(0, ["c"])
     # Row starts are prefix sums: within ranges of rows on top of the sums of the ranges before.
     width = 1 << 14
@@ -372,6 +460,12 @@ def write_self_describing(m: DataFrame, path: str, rows: int, cols: int) -> None
     write_lines(_head(m.sparkSession, "0000", "400", f"{rows} {cols} {m.count()}").union(body), path)
 
 
+def write_self_describing_vector(v: DataFrame, path: str, n: int) -> None:
+    """Text with the header 0000 / 100 and the values behind it."""
+    body = v.select(F.concat(F.lit("1"), F.lpad(F.col("i").cast("string"), 19, "0")).alias("_p"), _number("x").alias("value"))
+    write_lines(_head(v.sparkSession, "0000", "100", str(n)).union(body), path)
+
+
 def write_bsr(blocks: DataFrame, path: str, brows: int, bcols: int, nb: int) -> None:
     """Block rows (bi, bj, blk) of nb x nb blocks, stored row by row."""
     spark = blocks.sparkSession
