@@ -28,8 +28,8 @@ from collections import defaultdict, deque
 
 import numpy as np
 
-_BITS, _PACK = 10, 6  # (symbol, type) of one place in a sort key; places a key
-_BATCH, _TURNS = 2048, 4  # items of a batch of whole symbols; turns before it is cut
+_FEW = 1 << 10  # symbols of a string that has a range for each
+_BATCH, _TURNS = 1024, 3  # items of a batch of whole symbols; turns before it is cut
 
 
 class Space:
@@ -182,19 +182,18 @@ def common(t: np.ndarray, a: np.ndarray, b: np.ndarray, depth: int, have: np.nda
 
 def _refine(rank: np.ndarray, key_at, rounds: int) -> np.ndarray:
     """Refines dense group starts ``rank`` by further keys: ``key_at(items, round)`` until groups are single or rounds end."""
+    items = np.argsort(rank, kind="stable")
     for r in range(rounds):
-        order = np.argsort(rank, kind="stable")
-        sorted_rank = rank[order]
-        size = np.bincount(sorted_rank, minlength=len(rank))
-        items = order[size[sorted_rank] > 1]
-        if not len(items):
-            break
-        key = key_at(items, r)
+        group = rank[items]  # rising; only members of groups of two or more go on
+        edge = np.ones(len(items) + 1, bool)
+        edge[1:-1] = group[1:] != group[:-1]
+        items = items[~(edge[:-1] & edge[1:])]
+        key = key_at(items, r) if len(items) else None
         if key is None:
             break
-        o = np.lexsort((key, rank[items]))
-        items, key = items[o], key[o]
         group = rank[items]
+        o = np.lexsort((key, group))
+        items, key = items[o], key[o]
         first = np.ones(len(items), bool)
         first[1:] = group[1:] != group[:-1]
         new = first.copy()
@@ -280,7 +279,7 @@ def _ranges(t: np.ndarray, space: Space) -> tuple[np.ndarray, np.ndarray]:
         here = np.asarray(counts[a:b])
         sym = np.flatnonzero(here)
         times = here[sym]
-        if top < 1 << _BITS:
+        if top < _FEW:
             starts.append(sym + a)
             single.append(np.ones(len(sym), bool))
         elif len(sym):
@@ -395,6 +394,7 @@ class _Scan:
             stop = max(head + 1, min(ka[_BATCH] if len(ka) > _BATCH else none, kb[_BATCH] if len(kb) > _BATCH else none, end))
             na, nb = int(np.searchsorted(ka, stop)), int(np.searchsorted(kb, stop))
             own = _items(self.kind, [], [], [])  # what the batch induces into itself
+            self.seams = (np.zeros(0, np.int64), np.zeros(0, np.int64))
             for turn in range(_TURNS):
                 items, pos, lc, part = self._batch(a[:, :na], own, b[:, :nb])
                 target, prev, value, _, _ = self.predecessors(pos, lc)
@@ -432,7 +432,15 @@ class _Scan:
         lc[:1] = 0
         lc[1:][~same] = 0
         seam = np.flatnonzero(same & part[:-1] & ~part[1:]) + 1
-        lc[seam] = common(self.t, pos[seam - 1], pos[seam], self.depth)
+        # Pairs that the turn before has compared are looked up.
+        pair = pos[seam - 1] * len(self.t) + pos[seam]
+        known, value = self.seams
+        at = np.minimum(np.searchsorted(known, pair), max(len(known) - 1, 0))
+        new = known[at] != pair if len(known) else np.ones(len(pair), bool)
+        lc[seam[~new]] = value[at[~new]] if len(known) else 0
+        lc[seam[new]] = common(self.t, pos[seam[new] - 1], pos[seam[new]], self.depth)
+        order = np.argsort(pair)
+        self.seams = pair[order], lc[seam][order]
         return items, pos, lc, part
 
     def _alone(self, c: int, a: np.ndarray, b: np.ndarray):
@@ -526,8 +534,8 @@ def _names(t, is_s, lms, depth: int, space: Space) -> tuple[np.ndarray, bool]:
     """
     m, n = len(lms), len(t)
     top = max(int(np.asarray(t[a:b]).max()) for a, b in space.blocks(n))
-    wide = top * 2 + 1 >= 1 << _BITS
-    pack = 1 if wide else _PACK
+    bits = (top * 2 + 2).bit_length()
+    pack = 62 // bits
 
     def length(items):
         nxt = np.minimum(items + 1, m - 1)
@@ -543,7 +551,7 @@ def _names(t, is_s, lms, depth: int, space: Space) -> tuple[np.ndarray, bool]:
             at = first[inside] + j
             sym = np.zeros(len(items), np.int64)
             sym[inside] = np.asarray(t[at], np.int64) * 2 + is_s[at] + 1
-            key = sym if wide else key << _BITS | sym
+            key = key << bits | sym
         return key
 
     name, rounds, groups = space.array(m, _whole(m)), (depth + 2) // pack + 2, 0
@@ -614,15 +622,16 @@ def _sorted_lms(t, is_s, depth: int, space: Space, in_memory: int) -> tuple[np.n
         at += len(here)
     name, unlike = _names(t, is_s, lms, depth, space)
     order, same = space.array(m, _whole(m)), space.array(m + 1, np.int32)
+    fewer = depth // 2 + 2  # a name moves on by two symbols at least, so more names than these cover ``depth`` symbols
     if unlike:
         for a, b in space.blocks(m):
             order[name[a:b]] = np.arange(a, b)
             same[a:b] = 0
     elif m <= in_memory:
-        order[:], same[:m] = doubling(np.asarray(name, np.int64), depth)
+        order[:], same[:m] = doubling(np.asarray(name, np.int64), fewer)
     else:
         at = m
-        for pos, lc in suffix_order(name, depth, space, in_memory):
+        for pos, lc in suffix_order(name, fewer, space, in_memory):
             order[at - len(pos) : at] = pos[::-1]
             same[at - len(pos) + 1 : at + 1] = lc[::-1]
             at -= len(pos)
