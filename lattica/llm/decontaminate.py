@@ -33,8 +33,8 @@ from .common import bind, written
 K = 5
 BLOCKS, BITS, RADIUS = 8, 8, 20
 NEAR = RADIUS // BLOCKS
-#: Rows up to which a side that is checked first is broadcast.
-BROADCAST_ROWS = 200_000
+#: Rows, or items of the lists of its rows, up to which a side that is checked first is broadcast (about 10 MB).
+BROADCAST_ITEMS = 200_000
 
 
 def words(text: Column) -> Column:
@@ -66,9 +66,10 @@ def masks() -> list[int]:
     return [sum(1 << b for b in c) for d in range(NEAR + 1) for c in combinations(range(BITS), d)]
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """Broadcast if its size, checked here, allows it; else left to a shuffle join."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+def _small(df: DataFrame, lists: str | None = None) -> DataFrame:
+    """Broadcast if its rows, or the items of a column of lists, are few enough; else left to a shuffle join."""
+    n = df.limit(BROADCAST_ITEMS + 1).count() if lists is None else df.agg(F.sum(F.size(lists))).first()[0] or 0
+    return F.broadcast(df) if n <= BROADCAST_ITEMS else df
 
 
 def _row_key(key: str, text: str) -> list[Column]:
@@ -119,7 +120,7 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
 
     # 2. Fingerprints of those windows, from the documents that have any.
     per = written(spark, starts.groupBy(*KEY).agg(F.collect_list(F.struct("k", "n", "s")).alias("ws")), "windows")
-    few = _small(per)
+    few = _small(per, "ws")
     again = body.join(few, _same(body, few)).select(*[body[c] for c in KEY], body[text].alias(text), "ws").dropDuplicates(KEY)
     windows = of(again, [*[F.col(c) for c in KEY], F.col("ws")]).select(*KEY, "s", F.explode("ws").alias("w"))
     windows = windows.select(*KEY, F.col("w.k").alias("k"), F.col("w.n").alias("n"), F.col("w.s").alias("start"), F.slice(F.element_at("s", F.col("w.k")), F.col("w.s") + 1, F.col("w.n")).alias("dw"))
@@ -136,7 +137,7 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
     # 4. Exact weighted similarity.
     w2 = windows.select(*[F.col(c).alias(f"w{c}") for c in KEY], F.col("k").alias("wk"), F.col("n").alias("wn"), F.col("start").alias("ws"), "dw")
     same = F.col("_id").eqNullSafe(F.col("w_id")) & (F.col("_h") == F.col("w_h")) & (F.col("_c") == F.col("w_c")) & (F.col("k") == F.col("wk")) & (F.col("n") == F.col("wn")) & (F.col("start") == F.col("ws"))
-    full = pairs.join(w2, same).join(_small(listed.select("no", "item_id", "iw", "n_words")), "no")
+    full = pairs.join(w2, same).join(_small(listed.select("no", "item_id", "iw", "n_words"), "iw"), "no")
     inter = F.expr("aggregate(array_distinct(iw), 0, (a, x) -> a + least(size(filter(iw, y -> y = x)), size(filter(dw, y -> y = x))))")
     judged = full.withColumn("i", inter).withColumn("u", F.size("iw") + F.size("dw") - F.col("i")).where(den * F.col("i") >= num * F.col("u"))
     best = F.max(F.struct((F.col("i") / F.col("u")).alias("similarity"), (-F.col("start")).alias("s"), (-F.col("distance")).alias("d"), "n_words")).alias("x")
