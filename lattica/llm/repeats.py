@@ -7,8 +7,9 @@ stand. Maximal runs of windows of one name are segments. Names that occur once h
 occurs more often go to one shard; equal segments are sent once, with their count. A shard is a string of its segments that
 is sorted by external induced sorting with common-prefix values (``induced``): neighbours that agree on ``depth`` symbols
 are matches. Shards of ``SHARD_BYTES`` are many times what is held in memory (``MEMORY`` tuples and places): the string and
-all arrays of a level are files of the task, the queues spill, and names are sorted by recursion down to ``NAMES`` of them.
-A shard may be larger than aimed at (a name's segments stay together); that costs time and scratch disk, not memory.
+all arrays of a level are files of the task, and the queues spill. Names are sorted by recursion down to ``NAMES`` of them,
+and those by prefix doubling in memory: shards of up to about 3 MB have fewer, larger ones (a name's segments stay
+together) recurse, which costs time and scratch disk, not memory. A smaller ``NAMES`` makes every shard recurse.
 
 Documents with equal texts (by SHA-256) are settled by their text alone: such a text of ``depth`` bytes or more goes as a
 whole, and one copy stands for all in the search. Equal segments are told by name (64 bits), length and two polynomial
@@ -35,7 +36,7 @@ from .induced import Space, repeated_starts
 GRAM = 50
 BROADCAST_ROWS = 200_000
 SHARD_BYTES = 2 << 20
-MEMORY, NAMES = 1 << 17, 1 << 18
+MEMORY, NAMES = 1 << 17, 1 << 20
 #: Bytes that a task searches at a time.
 PIECE = 1 << 19
 _P1, _P2 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
