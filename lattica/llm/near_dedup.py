@@ -10,7 +10,7 @@ Classes that meet in a table are tied to the smallest of them (a star, not all p
 of 23 equal sub-keys are dropped: they are chance (a link at 0.8 has 13 on average and fewer than 5 once in 1e5). The
 connected components of the ties are candidate groups. Within a group every pair is decided on full sets. Blocks of
 bounded size are compared by an incidence product. Then one member of each confirmed component stands for it in blocks of
-their own, round after round while that finds links, so that a dense group is joined in time linear in its size. Last,
+their own, round after round while a fifth of the components go, so that a dense group is joined in linear time. Last,
 pairs of blocks that still hold more than one component are compared. Only the links of a spanning forest leave a task.
 Classes are told apart by 128 bits of a digest; their short ids are 64 bits of it, mended where two classes share them.
 
@@ -323,7 +323,7 @@ def group_classes(spark: SparkSession, docs: DataFrame, classes: DataFrame, key:
     large = members.where("nb > 1").drop("nb")
     if not large.limit(1).count():
         return components(links)
-    turn = 0
+    turn, left = 0, float("inf")
     while True:  # one member stands for each component, another one in each turn
         turn += 1
         comp = components(links).select(F.col("node").alias("cid"), F.col("label").alias("comp"))
@@ -335,10 +335,11 @@ def group_classes(spark: SparkSession, docs: DataFrame, classes: DataFrame, key:
         if not apart.limit(1).count():
             return components(links)
         placed = heads.join(apart, "label").select(*who, _one_block("label", F.pmod(F.xxhash64("cid", F.lit(turn)), F.col("nb"))), "comp")
-        more = written(spark, confirmed(docs, written(spark, placed, "placed"), key, text, k, num, den), "links")
-        if not more.limit(1).count():
+        placed = written(spark, placed, "placed")
+        last, left = left, placed.count()
+        if left > 0.8 * last:  # turns that no longer join much cost a pass each
             break
-        links = links.union(more)
+        links = links.union(written(spark, confirmed(docs, placed, key, text, k, num, den), "links"))
     # What is left of several components: blocks hold one large component each, or several small ones, and only pairs of
     # blocks that could still be linked are formed.
     many = written(spark, many.join(apart, "label"), "apart")
@@ -350,8 +351,8 @@ def group_classes(spark: SparkSession, docs: DataFrame, classes: DataFrame, key:
     bin_ = F.when(F.col("split") > 0, F.xxhash64("comp", F.pmod(F.xxhash64("cid"), F.col("split")))).otherwise(F.pmod(F.xxhash64("comp", F.lit(1)), F.col("sb")))
     many = written(spark, many.join(part, ["label", "comp"]).withColumn("bin", bin_), "bins")
     bins = written(spark, many.groupBy("label", "bin").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")), "bins")
-    left, right = bins.toDF("label", "bin", "lo", "hi"), bins.toDF("label", "bin2", "lo2", "hi2")
-    pairs = left.join(right, "label").where("bin <= bin2").where("not (lo = hi and lo2 = hi2 and lo = lo2)")
+    one, two = bins.toDF("label", "bin", "lo", "hi"), bins.toDF("label", "bin2", "lo2", "hi2")
+    pairs = one.join(two, "label").where("bin <= bin2").where("not (lo = hi and lo2 = hi2 and lo = lo2)")
     pairs = pairs.select("label", "bin", "bin2", F.xxhash64("bin", "bin2").alias("p"))
     sent = pairs.select("label", "bin", "p").union(pairs.where("bin != bin2").select("label", "bin2", "p"))
     sent = many.join(written(spark, sent, "pairs"), ["label", "bin"]).groupBy(*who, "comp").agg(F.collect_list(F.struct(F.col("label").alias("g"), "p")).alias("blocks"))
