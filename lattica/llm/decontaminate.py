@@ -7,13 +7,15 @@ compared with; a document with fewer is one window.
 1. Shingles that occur in some item mark where windows can matter: a window without 0.8 n shingles of one item cannot
    reach similarity 0.8 with it, so it needs no fingerprint. All windows with that many are kept. (Only shingles of the
    item count for the similarity of a full window, so windows that start at such a shingle stand for all others.)
-2. Each such window gets a 64-bit SimHash of its weighted shingles.
+2. Each such window gets a 64-bit SimHash. Weights enter as copies: the second copy of a shingle is a feature of its own, so
+   weighted similarity is that of two sets of features, and a shingle repeated often moves no bit by more than one.
 3. Multi-index Hamming blocks: fingerprints are cut into 8 blocks of 8 bits. Two fingerprints within radius 20 have a
    block within distance 2, so the items enter a table under all values within distance 2 of each of their blocks, and
    an equi-join on (size, block, value) finds every pair within the radius.
 4. The candidates within the radius are verified by exact weighted Jaccard similarity.
 
-At similarity 0.8 the expected distance is under 10 with a deviation under 3; radius 20 leaves out about 1 in 5,000.
+At similarity exactly 0.8 radius 20 leaves out 0.01 to 0.04 % of the windows (simulated for 9 to 90 shingles), whatever
+their shingles repeat.
 
 Defined results: null and empty texts or items match nothing; an item of fewer than 5 words is one shingle of its whole
 length and is found as such; several rows of one item id are several items and the best counts; rows with equal id and
@@ -51,8 +53,19 @@ def shingles(w: Column, k: int) -> Column:
     return bind(w, at)
 
 
+def copies(hashes: Column) -> Column:
+    """Distinct hashes for an array of hashes with repeats: of each hash together with how many of its equals come before."""
+    end = lambda s, first, j: F.coalesce(F.get(first, j + 1), F.size(s))
+
+    def runs(s: Column) -> Column:
+        heads = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+        return bind(heads, lambda first: F.flatten(F.transform(first, lambda p, j: F.transform(F.sequence(F.lit(0), end(s, first, j) - p - 1), lambda c: F.xxhash64(F.get(s, p), c)))))
+
+    return F.when(F.size(hashes) > 0, bind(F.array_sort(hashes), runs)).otherwise(F.expr("cast(array() as array<bigint>)"))
+
+
 def simhash(w: str) -> Column:
-    """SimHash of an array<bigint> column of hashes, repeats counted."""
+    """SimHash of an array<bigint> column of features."""
     ones = f"transform(sequence(0, 63), b -> aggregate({w}, 0, (a, x) -> a + cast(shiftright(x, b) & 1 as int)))"
     return F.expr(f"aggregate(transform({ones}, (c, b) -> if(2 * c > size({w}), shiftleft(1L, b), 0L)), 0L, (a, x) -> a | x)")
 
@@ -90,7 +103,7 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
     kk = F.least(F.size("w"), F.lit(K))
     made = F.coalesce(*[F.when(kk == k, shingles(F.col("w"), k)) for k in range(1, K + 1)])
     listed = listed.select("item_id", kk.alias("k"), made.alias("iw"), F.size("w").alias("n_words")).withColumn("n", F.size("iw"))
-    listed = listed.withColumn("fp", simhash("iw")).withColumn("no", F.xxhash64("item_id", "iw"))
+    listed = listed.withColumn("ic", copies(F.col("iw"))).withColumn("fp", simhash("ic")).withColumn("no", F.xxhash64("item_id", "iw"))
     listed = written(spark, listed, "items")
     sizes = sorted(r["k"] for r in listed.select("k").distinct().collect())  # 1 to 5 only
 
@@ -124,7 +137,8 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
     again = body.join(few, _same(body, few)).select(*[body[c] for c in KEY], body[text].alias(text), "ws").dropDuplicates(KEY)
     windows = of(again, [*[F.col(c) for c in KEY], F.col("ws")]).select(*KEY, "s", F.explode("ws").alias("w"))
     windows = windows.select(*KEY, F.col("w.k").alias("k"), F.col("w.n").alias("n"), F.col("w.s").alias("start"), F.slice(F.element_at("s", F.col("w.k")), F.col("w.s") + 1, F.col("w.n")).alias("dw"))
-    windows = written(spark, windows.withColumn("dfp", simhash("dw")), "prints")
+    windows = windows.withColumn("dc", copies(F.col("dw"))).drop("dw")
+    windows = written(spark, windows.withColumn("dfp", simhash("dc")), "prints")
 
     # 3. Every item within the radius, by blocks.
     near = listed.select("k", "n", "no", "fp", F.explode(blocks("fp")).alias("b")).select("k", "n", "no", "fp", "b.block", "b.value")
@@ -135,11 +149,10 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
     pairs = cells.join(_small(near), ["k", "n", "block", "value"]).where(distance <= RADIUS).select(*KEY, "k", "n", "start", "no", distance.alias("distance")).distinct()
 
     # 4. Exact weighted similarity.
-    w2 = windows.select(*[F.col(c).alias(f"w{c}") for c in KEY], F.col("k").alias("wk"), F.col("n").alias("wn"), F.col("start").alias("ws"), "dw")
+    w2 = windows.select(*[F.col(c).alias(f"w{c}") for c in KEY], F.col("k").alias("wk"), F.col("n").alias("wn"), F.col("start").alias("ws"), "dc")
     same = F.col("_id").eqNullSafe(F.col("w_id")) & (F.col("_h") == F.col("w_h")) & (F.col("_c") == F.col("w_c")) & (F.col("k") == F.col("wk")) & (F.col("n") == F.col("wn")) & (F.col("start") == F.col("ws"))
-    full = pairs.join(w2, same).join(_small(listed.select("no", "item_id", "iw", "n_words"), "iw"), "no")
-    inter = F.expr("aggregate(array_distinct(iw), 0, (a, x) -> a + least(size(filter(iw, y -> y = x)), size(filter(dw, y -> y = x))))")
-    judged = full.withColumn("i", inter).withColumn("u", F.size("iw") + F.size("dw") - F.col("i")).where(den * F.col("i") >= num * F.col("u"))
+    full = pairs.join(w2, same).join(_small(listed.select("no", "item_id", "ic", "n_words"), "ic"), "no")
+    judged = full.withColumn("i", F.size(F.array_intersect("ic", "dc"))).withColumn("u", F.size("ic") + F.size("dc") - F.col("i")).where(den * F.col("i") >= num * F.col("u"))
     best = F.max(F.struct((F.col("i") / F.col("u")).alias("similarity"), (-F.col("start")).alias("s"), (-F.col("distance")).alias("d"), "n_words")).alias("x")
     return judged.groupBy(*KEY, "item_id").agg(best).select(*KEY, "item_id", "x.similarity", (-F.col("x.s")).alias("start"), "x.n_words", (-F.col("x.d")).alias("distance"))
 
