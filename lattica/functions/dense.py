@@ -122,6 +122,37 @@ def block_inverse_diagonal_scaling(m: DataFrame, nb: int) -> DataFrame:
     return m.join(block_diagonal_inverse(m, nb), "bi").select("bi", "bj", times(F.col("inv"), F.col("blk"), nb).alias("blk"))
 
 
+def ldu_udf(nb: int):
+    """Inverses of L and of U in the form L D U of each block, without pivoting; null where a pivot is 0."""
+
+    @F.pandas_udf("left array<double>, right array<double>")
+    def ldu(blocks: pd.Series) -> pd.DataFrame:
+        rest = np.stack([np.asarray(x, float) for x in blocks]).reshape(-1, nb, nb) if len(blocks) else np.zeros((0, nb, nb))
+        left, good = np.tile(np.eye(nb), (len(rest), 1, 1)), np.ones(len(rest), bool)
+        for k in range(nb):
+            pivot = rest[:, k, k].copy()
+            good &= pivot != 0
+            factor = rest[:, k + 1 :, k, None] / np.where(pivot == 0, 1.0, pivot)[:, None, None]
+            left[:, k + 1 :] -= factor * left[:, k, None, :]
+            rest[:, k + 1 :] -= factor * rest[:, k, None, :]
+        rest[~good] = np.eye(nb)
+        right = np.linalg.inv(rest) * np.diagonal(rest, axis1=1, axis2=2)[:, None, :]
+        return pd.DataFrame({n: [x.ravel() if g else None for x, g in zip(v, good)] for n, v in (("left", left), ("right", right))})
+
+    return ldu
+
+
+def block_ldu_scaling(m: DataFrame, nb: int) -> DataFrame:
+    """L^-1 A U^-1 with L and U of the diagonal blocks, which become diagonal themselves.
+
+    Block rows and columns whose diagonal block is not stored or has no such form keep that side as it is.
+    """
+    parts = m.where("bi = bj").select(F.col("bi").alias("_b"), ldu_udf(nb)(F.col("blk")).alias("_f")).select("_b", "_f.left", "_f.right")
+    rows, cols = parts.select(F.col("_b").alias("bi"), "left"), parts.select(F.col("_b").alias("bj"), "right")
+    half = m.join(rows, "bi", "left").select("bi", "bj", F.when(F.col("left").isNull(), F.col("blk")).otherwise(times(F.col("left"), F.col("blk"), nb)).alias("blk"))
+    return half.join(cols, "bj", "left").select("bi", "bj", F.when(F.col("right").isNull(), F.col("blk")).otherwise(times(F.col("blk"), F.col("right"), nb)).alias("blk"))
+
+
 def condense(m: DataFrame, nb: int, norm: str = "fro") -> DataFrame:
     """A scalar matrix of block norms (fro, one, inf, max, or first: the (0, 0) entry)."""
     kinds = {"fro": lambda c: norm_fro(c), "one": lambda c: norm_one(c, nb), "inf": lambda c: norm_inf(c, nb), "max": norm_max, "first": lambda c: F.get(c, 0)}

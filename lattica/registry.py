@@ -246,6 +246,10 @@ query("block_spmv", V, ["x"], "SELECT p.i, sum(p.a * f.x) AS x FROM p JOIN f ON
     lambda s, d: dense.block_spmv(formats.to_blocks(poisson(s), 4), rhs(s).groupBy(F.floor(F.col("i") / 4).alias("b")).agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda e: e["x"]).alias("v")), 4).select("b", F.posexplode("v").alias("k", "x")).select((F.col("b") * 4 + F.col("k")).alias("i"), "x")
 )
 query("block_transpose", M, ["a"], "SELECT l_partkey::BIGINT AS i, l_suppkey::BIGINT AS j, count(*)::DOUBLE AS a FROM lineitem GROUP BY 1, 2")(lambda s, d: formats.from_blocks(dense.block_transpose(formats.to_blocks(suppliers(s, d), 3), 3), 3))
+LDU_SQL = "w AS (SELECT i, i AS k, 1.0::DOUBLE AS w FROM n UNION ALL SELECT i, i - 1, 0.25 FROM n WHERE i % 2 = 1)"  # L^-1 of the blocks ((4, -1), (-1, 4))
+query("block_ldu_scaling", M, ["a"], "SELECT l.i, u.i AS j, sum(l.w * p.a * u.w) AS a FROM p JOIN w l ON l.k = p.i JOIN w u ON u.k = p.j GROUP BY 1, 2 HAVING abs(sum(l.w * p.a * u.w)) > 1e-9", P_SQL + ", " + LDU_SQL)(
+    lambda s, d: formats.from_blocks(dense.block_ldu_scaling(formats.to_blocks(poisson(s), 2), 2), 2).where("abs(a) > 1e-9")
+)
 query("condense", M, ["a"], "SELECT i // 2 AS i, j // 2 AS j, sqrt(sum(a * a)) AS a FROM p GROUP BY 1, 2", P_SQL)(lambda s, d: dense.condense(formats.to_blocks(poisson(s), 2), 2))
 query("block_compress", M, ["a"], "SELECT p.i, p.j, p.a FROM p WHERE i // 2 = j // 2", P_SQL)(lambda s, d: formats.from_blocks(dense.block_compress(formats.to_blocks(poisson(s), 2), 1.5), 2))
 query("block_inverse_diagonal_scaling", M, ["a"], "SELECT i, j, sum(a) AS a FROM (SELECT r.i, p.j, r.w * p.a AS a FROM p JOIN (SELECT i, i AS k, 4.0 / 15 AS w FROM n UNION ALL SELECT i, CASE WHEN i % 2 = 0 THEN i + 1 ELSE i - 1 END, 1.0 / 15 FROM n) r ON r.k = p.i) GROUP BY 1, 2 HAVING abs(sum(a)) > 1e-9", P_SQL)(
