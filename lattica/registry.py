@@ -134,7 +134,7 @@ query("galerkin_boolean", M, ["a"], "SELECT p.s_nationkey::BIGINT AS i, q.s_nati
     lambda s, d: products.galerkin_boolean(nation_map(s, d), products.spgemm(suppliers(s, d), matrix.transpose(suppliers(s, d))))
 )
 query("schur", M, ["a"], "SELECT i, j, sum(a) AS a FROM (SELECT s_suppkey::BIGINT AS i, s_suppkey::BIGINT AS j, s_acctbal AS a FROM supplier UNION ALL SELECT p.i, q.i, -p.a * x * q.a FROM s p JOIN x ON p.j = x.i JOIN s q ON p.j = q.j) GROUP BY 1, 2", f"{S_SQL}, {X_SQL}")(
-    lambda s, d: products.schur(table(s, d, "supplier").select(F.col("s_suppkey").cast("long").alias("i"), F.col("s_acctbal").cast("double").alias("x")), suppliers(s, d), prices(s, d), matrix.transpose(suppliers(s, d)))
+    lambda s, d: products.schur(table(s, d, "supplier").select(F.col("s_suppkey").cast("long").alias("i"), F.col("s_acctbal").cast("double").alias("x")), b := written(suppliers(s, d), "suppliers"), prices(s, d), matrix.transpose(b))
 )
 query("residual", V, ["x"], "SELECT f.i, f.x - sum(p.a * g.x) AS x FROM f JOIN p ON p.i = f.i JOIN f g ON g.i = p.j GROUP BY f.i, f.x", P_SQL)(lambda s, d: products.residual(rhs(s), poisson(s), rhs(s)))
 
