@@ -59,13 +59,20 @@ def byte_view(texts) -> tuple[np.ndarray, np.ndarray]:
     return raw, offsets - offsets[0]
 
 
+def release() -> None:
+    """Gives freed memory of a worker back to the system."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def by_bytes(batches, column: str, limit: int = 8 << 20):
     """Arrow record batches cut so that one holds about ``limit`` bytes of ``column``, or a single row.
 
     Freed memory goes back to the system after each batch: workers live on between stages.
     """
-    import pyarrow as pa
-
     for batch in batches:
         if batch.num_rows == 0:
             continue
@@ -77,6 +84,4 @@ def by_bytes(batches, column: str, limit: int = 8 << 20):
             yield batch.slice(start, end - start)
             start = end
         del batch
-        pa.default_memory_pool().release_unused()
-        with contextlib.suppress(OSError, AttributeError):
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        release()

@@ -218,7 +218,7 @@ def _group_starts(key: np.ndarray) -> np.ndarray:
 def doubling(t: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """(order, common prefixes with the suffix before) of a string in memory, by prefix doubling up to ``depth``."""
     n = len(t)
-    ranks = [_group_starts(t)]
+    ranks = [_group_starts(t).astype(_whole(n))]
     k = 1
     while k < depth:
         rank = ranks[-1].copy()

@@ -27,10 +27,11 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes, byte_view, drop, written
+from .common import by_bytes, byte_view, drop, release, written
 from .induced import Space, repeated_starts
 
 GRAM = 50
@@ -39,16 +40,19 @@ SHARD_BYTES = 2 << 20
 MEMORY, NAMES = 1 << 17, 1 << 20
 #: Bytes that a task searches at a time.
 PIECE = 1 << 19
+#: Bytes that a task cuts at a time.
+PART = 1 << 21
 _P1, _P2 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 _PRIME, _BASES = (1 << 31) - 1, (1_093_720_531, 1_870_365_269)
+_MORE = 1 << 10  # what a piece can exceed PIECE by before its powers are computed anew
 _powers: dict[tuple[int, int], np.ndarray] = {}
 
 
 def _power(base: int, n: int) -> np.ndarray:
-    """base^0 .. base^n modulo 2^64."""
+    """base^0 .. base^n modulo 2^64. A worker keeps the powers for one piece: it lives on beside the JVM of its executor."""
     have = _powers.get((base, 0))
     if have is None or len(have) <= n:
-        steps = np.full(max(n + 1, 1 << 20), base, np.uint64)
+        steps = np.full(max(n, PIECE + _MORE) + 1, base, np.uint64)
         steps[0] = 1
         with np.errstate(over="ignore"):
             have = _powers[base, 0] = np.cumprod(steps)
@@ -90,12 +94,12 @@ def _segment_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.n
 
 
 def _prime_powers(base: int, n: int) -> np.ndarray:
-    """base^0 .. base^n modulo 2^31 - 1, by doubling."""
+    """base^0 .. base^n modulo 2^31 - 1, by doubling, as 32-bit integers."""
     have = _powers.get((base, _PRIME))
     if have is None or len(have) <= n:
-        have, step = np.ones(1, np.uint64), base
-        while len(have) <= max(n, 1 << 20):
-            have = np.concatenate([have, have * np.uint64(step) % np.uint64(_PRIME)])
+        have, step, size = np.ones(1, np.uint32), base, max(n, PIECE + _MORE) + 1
+        while len(have) < size:
+            have = np.concatenate([have, (have[: size - len(have)] * np.uint64(step) % np.uint64(_PRIME)).astype(np.uint32)])
             step = step * step % _PRIME
         _powers[base, _PRIME] = have
     return have
@@ -124,6 +128,7 @@ def segments(raw: np.ndarray, off: np.ndarray, depth: int, gram: int):
         grams = prefix[gram:] - prefix[:-gram]
         grams *= _power(pow(_P1, -1, 1 << 64), len(grams))[: len(grams)]
         grams = _mix(grams)
+    del prefix
     least = _sliding(grams, w, np.minimum)  # name of the window that starts here
     # Windows that would cross into the next text are none; at least depth - 1 of them part the texts of a batch.
     cross = np.zeros(len(raw) + 1, np.int8)
@@ -142,6 +147,7 @@ def segments(raw: np.ndarray, off: np.ndarray, depth: int, gram: int):
     masked = np.zeros(n + 2 * w - 2, np.uint64)
     np.copyto(masked[w - 1 : w - 1 + n], least, where=ok)
     marks = np.flatnonzero(grams == _sliding(masked, w, np.maximum))
+    del masked
     seg_of = np.cumsum(new) - 1
     lo = seg_of[np.clip(marks - w + 1, 0, n - 1)].clip(0)
     hi = seg_of[np.clip(marks, 0, n - 1)]
@@ -200,6 +206,7 @@ def shard_repeats(rows: DataFrame, shards: int, depth: int) -> DataFrame:
                 np.zeros(1, np.uint16).tofile(text)
             if not keys:
                 return
+            del batch, raw, part
             found = repeated_starts(np.asarray(np.memmap(place, np.uint16, "r")), depth, space, names)
             at = 0
             for key, size in zip(keys, sizes):
@@ -215,6 +222,8 @@ def shard_repeats(rows: DataFrame, shards: int, depth: int) -> DataFrame:
                 kinds = [pa.int64()] * 3 + [pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))]
                 more = [pa.array(np.full(len(out[0]), v)) for v in (space.spilled, space.levels)]
                 yield pa.record_batch([*[pa.array(x, k) for x, k in zip(out, kinds)], *more], names=["name", "seg", "len", "spans", "spilled", "levels"])
+        del found, keys, sizes
+        release()
 
     placed = rows.repartition(shards, F.xxhash64("name")).sortWithinPartitions("name", "seg")
     return placed.select("name", "seg", "len", "body").mapInArrow(run, "name long, seg long, len long, spans array<struct<s:long,e:long>>, spilled long, levels long")
@@ -224,7 +233,7 @@ def window_repeats(rows: DataFrame, depth: int) -> DataFrame:
     """As ``shard_repeats``, for names with very many segments: windows are counted by a 128-bit hash."""
 
     def run(batches):
-        for batch in by_bytes(batches, "body", 1 << 20):
+        for batch in by_bytes(batches, "body", PIECE):
             raw, off = byte_view(batch.column(3))
             n = np.maximum(np.diff(off) - depth + 1, 0)
             owner = np.repeat(np.arange(len(n)), n)
@@ -280,13 +289,13 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", de
     source = searched.join(wanted, (F.col("th") == F.col("wh")) & (F.col("tc") == F.col("wc")))
 
     def cut(batches):
-        for batch in by_bytes(batches, "body"):
+        for batch in by_bytes(batches, "body", PART):
             raw, off = byte_view(batch.column(0))
-            data = raw.tobytes()
+            data = memoryview(raw)
             out: tuple[list, ...] = ([], [], [], [], [])
             for a, want in zip(off[:-1].tolist(), batch.column(1).to_pylist()):
                 for x in want:
-                    for column, v in zip(out, (x["name"], x["seg"], x["len"], x["hot"], data[a + x["start"] : a + x["start"] + x["len"]])):
+                    for column, v in zip(out, (x["name"], x["seg"], x["len"], x["hot"], data[a + x["start"] : a + x["start"] + x["len"]].tobytes())):
                         column.append(v)
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary())
             yield pa.record_batch([pa.array(x, k) for x, k in zip(out, kinds)], names=["name", "seg", "len", "hot", "body"])
@@ -314,27 +323,28 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", de
     final = marked.select(key, "th", "tc", "many", "body").join(per, (F.col("th") == F.col("rh")) & (F.col("tc") == F.col("rc")), "left").select(key, "body", "many", "ranges")
 
     def finish(batches):
-        for batch in by_bytes(batches, "body"):
+        for batch in by_bytes(batches, "body", PART):
             raw, off = byte_view(batch.column(1))
-            out: tuple[list, ...] = ([], [], [], [], [])
-            for a, b, many, ranges in zip(off[:-1].tolist(), off[1:].tolist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                n = b - a
-                if many:
-                    removed, runs, kept = n, 1, b""
-                elif not ranges:
-                    removed, runs, kept = 0, 0, raw[a:b].tobytes()
-                else:
-                    step = np.zeros(n + 1, np.int64)
-                    np.add.at(step, [x["s"] for x in ranges], 1)
-                    np.add.at(step, [x["e"] for x in ranges], -1)
-                    gone = np.cumsum(step[:-1]) > 0
-                    removed = int(gone.sum())
-                    runs = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
-                    kept = raw[a:b][~gone].tobytes()
-                for column, v in zip(out, (n, removed, runs, hashlib.sha256(kept).hexdigest(), kept)):
-                    column.append(v)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
-            columns = [pa.array(x, k) for x, k in zip(out, kinds)][: 5 if with_text else 4]
+            n = np.diff(off)
+            ranges = batch.column(3)
+            of = np.repeat(off[:-1], pc.fill_null(pc.list_value_length(ranges), 0).to_numpy())
+            inner = ranges.flatten()
+            many = np.flatnonzero(batch.column(2).to_numpy(zero_copy_only=False))
+            step = np.zeros(len(raw) + 1, np.int32)
+            np.add.at(step, np.concatenate([of + inner.field("s").to_numpy(), off[many]]), 1)
+            np.add.at(step, np.concatenate([of + inner.field("e").to_numpy(), off[many + 1]]), -1)
+            gone = np.cumsum(step[:-1], dtype=np.int32) > 0
+            starts = gone.copy()
+            starts[1:] &= ~gone[:-1]
+            heads = off[:-1][n > 0]
+            starts[heads] = gone[heads]
+            removed, runs = (np.diff(np.concatenate([[0], np.cumsum(x, dtype=np.int64)])[off]) for x in (gone, starts))
+            ends = np.cumsum(n - removed)
+            kept = memoryview(raw[~gone])
+            texts = [kept[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
+            columns = [pa.array(n), pa.array(removed), pa.array(runs), pa.array([hashlib.sha256(x).hexdigest() for x in texts])]
+            if with_text:
+                columns.append(pa.array([x.tobytes() for x in texts], pa.binary()))
             yield pa.record_batch([batch.column(0), *columns], names=[key, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: 6 if with_text else 5])
 
     kind = dict(docs.dtypes)[key]
