@@ -35,8 +35,11 @@ from pyspark.sql import functions as F
 from .common import by_bytes, byte_view, drop, new_path
 
 WINDOW, MASK, LONGEST, KEY = 16, 0xFF, 2048, 20
+BLOCK = 1 << 16
 _POLY = 0xEDB88320
 _SEEN = 400_000
+#: Slices of at most so many bytes whose ids a worker keeps, and how many of them.
+SHORT, KNOWN = 24, 400_000
 
 
 #: Words of these characters only have slices that can be told by character class and encoded apart from each other: no
@@ -51,7 +54,8 @@ _PLAIN_KIND = np.array([2 if 48 <= c <= 57 else int(c >= 0xC0 or chr(c).isalpha(
 class WordEncoder:
     """Ids of whole texts by the tokenizers library. White space separates words in its vocabulary's pattern and is
     dropped, and so are letters, digits and marks of plain words: each distinct slice of a batch is encoded once, many
-    slices in one call (their ends show in the vocabulary's word-end mark); other words are encoded one by one."""
+    slices in one call (their ends show in the vocabulary's word-end mark); other words are encoded one by one. Ids of the
+    first ``KNOWN`` short slices are kept for the batches and tasks that follow."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -61,6 +65,8 @@ class WordEncoder:
         self.ends = np.zeros(self.size, bool)
         for token, i in self.library.get_vocab().items():
             self.ends[i] = token.endswith("</w>")
+        self.known = pa.array([], pa.large_string())  # slices, their ids end to end, number of ids of each
+        self.known_ids, self.known_sizes = np.zeros(0, "<u4"), np.zeros(0, np.int64)
 
     def _apart(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all words, number of ids of each), each word by itself."""
@@ -78,15 +84,34 @@ class WordEncoder:
         bounds = np.append(at[starts], len(raw))
         slices = pa.LargeStringArray.from_buffers(len(bounds) - 1, pa.py_buffer(bounds), pa.py_buffer(raw))
         coded = pc.utf8_lower(slices).dictionary_encode()
-        some = coded.dictionary.to_pylist()
-        found = [e.ids for e in self.library.encode_batch_fast([" ".join(some[a : a + 1000]) for a in range(0, len(some), 1000)], add_special_tokens=False)]
+        flat, size, at = self._slices(coded.dictionary)
+        per_slice = np.searchsorted(bounds, off)
+        ids, before = _gather(flat, size, at[coded.indices.to_numpy()])
+        return ids, np.diff(before[per_slice])
+
+    def _slices(self, some: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids end to end, number of ids of each list, place of each slice among the lists) of distinct slices."""
+        at = pc.index_in(some, value_set=self.known)
+        new = some.filter(pc.is_null(at))
+        fresh = at.is_null().to_numpy(zero_copy_only=False)
+        place = pc.fill_null(at, 0).to_numpy().astype(np.int64)
+        place[fresh] = len(self.known) + np.arange(len(new))
+        if not len(new):
+            return self.known_ids, self.known_sizes, place
+        words = new.to_pylist()
+        found = [e.ids for e in self.library.encode_batch_fast([" ".join(words[a : a + 1000]) for a in range(0, len(words), 1000)], add_special_tokens=False)]
         flat = np.concatenate([np.array(x, "<u4") for x in found])
         last = np.flatnonzero(self.ends[flat]) + 1
-        if len(last) != len(some):
+        if len(last) != len(new):
             raise ValueError("slices and encoded words differ in number")
-        per_slice = np.searchsorted(bounds, off)
-        ids, before = _gather(flat, np.diff(last, prepend=0), coded.indices.to_numpy())
-        return ids, np.diff(before[per_slice])
+        size = np.diff(last, prepend=0)
+        all_ids, all_sizes = np.concatenate([self.known_ids, flat]), np.concatenate([self.known_sizes, size])
+        short = np.flatnonzero(pc.binary_length(new).to_numpy() <= SHORT)[: KNOWN - len(self.known)]
+        if len(short):
+            self.known_ids = np.concatenate([self.known_ids, _gather(flat, size, short)[0]])
+            self.known_sizes = np.concatenate([self.known_sizes, size[short]])
+            self.known = pa.concat_arrays([self.known, new.take(pa.array(short))])
+        return all_ids, all_sizes, place
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, number of ids before each text and in all)."""
@@ -131,19 +156,21 @@ def encoder(path: str) -> WordEncoder:
 
 def chunk_ends(ids: np.ndarray, cut: np.ndarray) -> np.ndarray:
     """Ends of the chunks of texts laid end to end; ``cut`` holds the offsets of the texts. Every end of a text is one."""
-    n = len(ids)
-    with np.errstate(over="ignore"):
-        mixed = (ids.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-        mixed ^= mixed >> np.uint64(29)
-        rolling = np.zeros(n, np.uint64)
-        for j in range(min(WINDOW, n)):
-            rolling[j:] += mixed[: n - j] if j == 0 else mixed[: n - j] * np.uint64(pow(0xBF58476D1CE4E5B9, j, 1 << 64))
-        rolling ^= rolling >> np.uint64(32)
-    place = np.arange(n) - np.repeat(cut[:-1], np.diff(cut))  # place within the text: a window lies within one text
-    marks = np.flatnonzero(((rolling & np.uint64(MASK)) == 0) & (place >= WINDOW - 1)) + 1
-    ends = np.union1d(marks, cut[1:])
+    marks = []
+    for a in range(0, len(ids), BLOCK):  # a block holds the windows that end in it
+        low = max(0, a - WINDOW + 1)
+        with np.errstate(over="ignore"):
+            rolling = (ids[low : a + BLOCK].astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+            rolling ^= rolling >> np.uint64(29)
+            for k in (1, 2, 4, 8):  # sums over windows of 2 k ids from those of k
+                rolling[k:] += rolling[:-k] * np.uint64(pow(0xBF58476D1CE4E5B9, k, 1 << 64))
+            rolling ^= rolling >> np.uint64(32)
+        marks.append(np.flatnonzero((rolling[a - low :] & np.uint64(MASK)) == 0) + a)
+    at = np.concatenate(marks) if marks else np.zeros(0, np.int64)
+    at = at[at - cut[np.searchsorted(cut, at, "right") - 1] >= WINDOW - 1]  # a window lies within one text
+    ends = np.union1d(at + 1, cut[1:])
     starts = np.concatenate([[0], ends[:-1]])
-    extra = [np.arange(s + LONGEST, e, LONGEST) for s, e in zip(starts, ends) if e - s > LONGEST]
+    extra = [np.arange(starts[i] + LONGEST, ends[i], LONGEST) for i in np.flatnonzero(ends - starts > LONGEST)]
     return np.union1d(ends, np.concatenate(extra)) if extra else ends
 
 
