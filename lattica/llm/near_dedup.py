@@ -312,7 +312,7 @@ def group_classes(spark: SparkSession, docs: DataFrame, classes: DataFrame, key:
     side = lambda c: classes.select(F.col("cid").alias(c), F.col("subs").alias(f"s_{c}"))
     tied = written(spark, ties(spark, classes, total), "ties")
     tied = tied.join(side("a"), "a").join(side("b"), "b").where(F.size(F.array_intersect("s_a", "s_b")) >= shared).select("a", "b")
-    candidates = components(tied)
+    candidates = components(written(spark, tied, "tied"))
     # Sums by label are written before they are joined: a label of very many rows is then split by the adaptive join.
     members = written(spark, candidates.join(classes.select(F.col("cid").alias("node"), "d1", "d2", "rep", "n"), "node").withColumnRenamed("node", "cid"), "members")
     sizes = members.groupBy("label").agg(_blocks(F.count(F.lit(1)), F.sum("n")).alias("nb"))
@@ -356,7 +356,7 @@ def group_classes(spark: SparkSession, docs: DataFrame, classes: DataFrame, key:
     pairs = pairs.select("label", "bin", "bin2", F.xxhash64("bin", "bin2").alias("p"))
     sent = pairs.select("label", "bin", "p").union(pairs.where("bin != bin2").select("label", "bin2", "p"))
     sent = many.join(written(spark, sent, "pairs"), ["label", "bin"]).groupBy(*who, "comp").agg(F.collect_list(F.struct(F.col("label").alias("g"), "p")).alias("blocks"))
-    more = confirmed(docs, written(spark, sent, "placed"), key, text, k, num, den)
+    more = written(spark, confirmed(docs, written(spark, sent, "placed"), key, text, k, num, den), "links")
     return components(links.union(more))
 
 
