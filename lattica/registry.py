@@ -47,11 +47,10 @@ def suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matrix.matrix(table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey"), "l_suppkey", "l_partkey", F.lit(1.0))
 
 
-def galerkin_factors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Supplier x part, B, part x supplier, straight from the rows of lineitem: nothing is summed or written before the product."""
+def galerkin_factors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Supplier x part and B, straight from the rows of lineitem: equal positions are not yet summed."""
     items = table(spark, sf_dir, "lineitem")
-    s = matrix.entries(items, "l_suppkey", "l_partkey", F.lit(1.0))
-    return s, matrix.entries(items, "l_orderkey", "l_partkey", "l_quantity"), matrix.transpose(s)
+    return matrix.entries(items, "l_suppkey", "l_partkey", F.lit(1.0)), matrix.entries(items, "l_orderkey", "l_partkey", "l_quantity")
 
 
 def nation_map(spark: SparkSession, sf_dir: str) -> DataFrame:
